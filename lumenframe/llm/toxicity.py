@@ -249,7 +249,7 @@ def third(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 10_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 5_000) -> DataFrame:
     """Returns id, ``held_out`` and ``score`` for each row of ``docs``; learns only from labels that aren't held out."""
     spark = docs.sparkSession
     label = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
@@ -258,17 +258,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     least = [label.where(f"toxic = {c}").orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     known = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learn = stash(known.join(F.broadcast(least[0].unionByName(least[1])), "id").select("text", "toxic", "fold"), "toxicity-sample")
-    counted = learn.mapInArrow(_count, "gram long, cell int, n long").groupBy("gram").pivot("cell", [0, 1, 2, 3]).agg(F.sum("n")).na.fill(0).toPandas()
-    gram = counted["gram"].to_numpy(np.int64).view(np.uint64)
-    n = [counted[str(c)].to_numpy(np.int64) for c in range(4)]
+    counted = learn.mapInArrow(_count, "gram long, cell int, n long").groupBy("gram").agg(*[F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4)])
+    # an n-gram of a single text is all but taken off by the discount
+    counted = counted.where("n0 + n1 + n2 + n3 > 1").toArrow()
+    gram = counted["gram"].to_numpy().view(np.uint64)
+    n = [counted[f"n{c}"].to_numpy() for c in range(4)]
     source = docs.select(F.col(id_col).alias("__id"), third(F.col(id_col)).alias("__part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held_out = F.coalesce(F.col("__part") == 1, F.lit(False)).alias("held_out")
     toxic, ordinary = int(n[2].sum() + n[3].sum()), int(n[0].sum() + n[1].sum())
     if not toxic or not ordinary:
         return source.select(F.col("__id").alias(id_col), held_out, F.lit(1.0 if toxic else 0.0).alias("score"))
     folds = [fit(gram[x := n[2 + f] + n[f] > 0], np.c_[n[2 + f][x], n[f][x]]) for f in (0, 1)]
-    seen = learn.mapInArrow(_learned(spark.sparkContext.broadcast((folds, None)), True), "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toPandas()
-    curve = _curve(seen[[f"x{i}" for i in range(FEATURES)]].to_numpy(), seen["toxic"].to_numpy(float))
+    seen = learn.mapInArrow(_learned(spark.sparkContext.broadcast((folds, None)), True), "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toArrow()
+    curve = _curve(np.column_stack([seen[f"x{i}"].to_numpy() for i in range(FEATURES)]), seen["toxic"].to_numpy().astype(float))
     whole = spark.sparkContext.broadcast(([fit(gram, np.c_[n[2] + n[3], n[0] + n[1]])], curve))
     id_type = source.schema["__id"].dataType.simpleString()
     scored = source.mapInArrow(_learned(whole, False), f"__id {id_type}, __part long, score double")
