@@ -1,11 +1,61 @@
-"""The corpus pipeline: quality, near copies, benchmark passages, personal data, mixture."""
+"""The corpus pipeline: quality, near copies, benchmark passages, personal data, mixture.
+
+Each stage takes the rows that the one before kept, and returns the columns of ``documents``; the
+last adds what the mixture takes of each.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.llm import bagminhash, decontaminate, mixing, pii, quality
+from lumenframe.llm._store import stash
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling draws."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rated = quality.resample_quality(docs, labels, carry=tuple(docs.columns))
+    return rated.where("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that of the least id."""
+    return bagminhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of any benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by pseudonyms."""
+    out = pii.pseudonymise(docs, count_col=None)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mixture takes of each document."""
+    return mixing.mix_sources(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("pii", pseudonymise),
+    ("mixing", mix),
+]
+
+#: Learned models, signatures and keyed digests have no counterpart in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each read back from a table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

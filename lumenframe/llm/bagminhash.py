@@ -229,7 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Returns for each row of ``docs`` its id, ``text_hash`` (null without words), ``class_id`` and ``class_size`` (rows in its class)."""
+    """Returns for each row of ``docs`` its id, ``text_hash`` and ``class_hash`` (null without words), ``class_id`` and ``class_size`` (rows in its class)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__node"), text.alias("__text"))
@@ -289,6 +289,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(
         F.col("__id").alias(id_col),
         F.col("node").alias("text_hash"),
+        F.col("label").alias("class_hash"),
         F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
     )
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without all but one row of each class: the one of the least id. Texts without words stay."""
+    classes = stash(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "classes")
+    kept = classes.where("class_hash is not null").groupBy("class_hash").agg(F.min(F.struct(F.col(id_col), F.col("text_hash"))).alias("k"))
+    kept = kept.select(F.col(f"k.{id_col}").alias("__k_id"), F.col("k.text_hash").alias("__k_hash"))
+    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = marked.where(worded).join(kept, F.col(id_col).eqNullSafe(F.col("__k_id")) & (F.col("__hash") == F.col("__k_hash")), "left_semi")
+    if not classes.where("text_hash is not null").groupBy(id_col, "text_hash").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__hash"])
+    return out.unionByName(marked.where(~worded)).drop("__hash")

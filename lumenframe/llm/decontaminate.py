@@ -192,3 +192,11 @@ def decontaminate(
         F.coalesce("spans", F.array().cast("array<struct<a: bigint, b: bigint>>")).alias("spans"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that have a window of an item."""
+    found = decontaminate(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated")
+    found = found.select(F.col(id_col).alias("__f_id"), F.col("text_hash").alias("__f_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__f_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__f_hash"))
+    return docs.join(found, same, "left_anti")

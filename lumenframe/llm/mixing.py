@@ -2,7 +2,8 @@
 
 Each document draws u in (0, 1) from a hash of its id and gets the key -ln(u) / quality weight.
 Within a source, documents stand in order of their keys; a source whose budget is e times its size
-and a rest takes every document e times, then documents in order until the rest is filled.
+and a rest takes every document e times, then documents in order until the rest is filled; the
+document at its edge is taken in part.
 
 The order within a source is summed in two levels: keys fall into ranges of some thousand
 documents, the ranges' sums are accumulated, then each range on its own, so that no task holds a
@@ -73,8 +74,9 @@ def mix_sources(
 
     Sources by code point weigh ``weights`` in turn. Returns a row for each document: its id,
     ``source``, ``size`` (words), ``source_size``, ``target`` (of its source), ``taken`` (words
-    with repeats) and the columns named in ``carry``.
+    with repeats) and the columns named in ``carry`` (``doc_`` before names that clash).
     """
+    own = (id_col, "source", "size", "source_size", "target", "taken")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     weight = text_quality(F.col(text_col)) if quality is None else quality
     base = docs.select(
@@ -95,5 +97,5 @@ def mix_sources(
     ordered = placed.join(in_range, ["__source", "__range"]).withColumn("__before", F.col("__before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.when(F.col("__before") + F.col("size") / 2 <= rest, F.col("size")).otherwise(F.lit(0))
-    return ordered.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"__c_{c}").alias(c) for c in carry])
+    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.floor(rest) - F.col("__before")))
+    return ordered.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"__c_{c}").alias(c if c not in own else f"doc_{c}") for c in carry])

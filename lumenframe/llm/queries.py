@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, decontaminate, html_text, mixing, pii, quality, sql, substrings, topk, toxicity
+from lumenframe.llm import bagminhash, chat, decontaminate, html_text, mixing, pii, quality, sql, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_text": op3_html_text,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_toxicity": op5_toxicity,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_quality": op7_quality,
         "op8_pii": op8_pii,
         "op9_mix": op9_mix,

@@ -82,7 +82,7 @@ run AS (
   FROM keyed
 )
 SELECT doc_id, r.source, size, CAST(s AS BIGINT) AS source_size, round(target, 6) AS target,
-  CAST(CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END * size + CASE WHEN before + size / 2.0 <= target - CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END * s THEN size ELSE 0 END AS BIGINT) AS taken
+  CAST(CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END * size + greatest(0, least(size, floor(target - CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END * s) - before)) AS BIGINT) AS taken
 FROM run r JOIN aim a ON r.source IS NOT DISTINCT FROM a.source
 """
 
