@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "lumenframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,3 +25,26 @@ def build_session(app: str = "lumenframe", master: str | None = None, **conf: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, by a reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="lumenframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
+    elif spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint(eager=True)
+
+
+#: Tables of more rows than this are joined by a shuffle where a small one would be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, to be broadcast if a count shows that it has few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
