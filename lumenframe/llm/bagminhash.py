@@ -11,9 +11,11 @@ m (ln m + 5) points for a text of any length.
    bucket. Each bucket names one node, another in each band, for its others to pair with.
 2. Pairs whose signatures agree enough are verified on the texts' shingles: first each node's
    best, then those that still cross components.
-3. Buckets that still hold several components compare the smaller ones' nodes with all others,
-   in blocks, by signature, and verify those that could reach the threshold. So a link between
-   nodes of a bucket is never lost, and no bucket is expanded into all pairs.
+3. Buckets that still hold several components compare the nodes outside the largest with all
+   others, block by block, by signature; of the pairs that could reach the threshold a block gives
+   only a spanning forest, which puts every such pair in one group. Groups of several components
+   are verified block by block on their shingles, and give only links. So a link between nodes of
+   a bucket is never lost, and no pairs but links are ever written out.
 
 Components are found by alternating large-star and small-star steps.
 
@@ -199,16 +201,73 @@ def _verified(threshold: float) -> Callable:
     return run
 
 
-def _against_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a node and the nodes of a block that agree enough."""
+def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of the rows and columns of a bipartite graph, the least row of each component; -1 without links."""
+    n = len(links)
+    rows = np.where(links.any(1), np.arange(n), n)
+    while True:
+        columns = np.where(links, rows[:, None], n).min(0, initial=n)
+        new = np.minimum(rows, np.where(links, columns[None, :], n).min(1, initial=n))
+        if (new == rows).all():
+            return np.where(rows < n, rows, -1), np.where(columns < n, columns, -1)
+        rows = new
+
+
+def _block(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([r["node"] for r in rows]), np.array([r["label"] for r in rows]), np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, COMPONENTS)
+
+
+def _could_link(a: tuple, b: tuple) -> np.ndarray:
+    """Which pairs of two blocks are of different labels and agree enough."""
+    out = np.zeros((len(a[0]), len(b[0])), bool)
+    for i in range(len(out)):
+        out[i] = ((b[2] == a[2][i]).sum(1) >= AGREEING) & (b[1] != a[1][i])
+    return out
+
+
+def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs of two blocks that could be links."""
     for batch in batches:
-        a, b = [], []
-        for node, sig, nodes, sigs in zip(*(batch.column(c).to_pylist() for c in ("node", "sig", "nodes", "sigs")), strict=True):
-            other = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, COMPONENTS)
-            hit = np.flatnonzero((other == np.frombuffer(sig, np.uint16)).sum(1) >= AGREEING)
-            a += [node] * len(hit)
-            b += [nodes[i] for i in hit]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        ends: list[list[int]] = [[], []]
+        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+            a, b = _block(left), _block(right)
+            rows, columns = _forest(_could_link(a, b))
+            for nodes, label in ((a[0], rows), (b[0], columns)):
+                use = (label >= 0) & (nodes != a[0][np.maximum(label, 0)])
+                ends[0] += nodes[use].tolist()
+                ends[1] += a[0][label[use]].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64())], ["a", "b"])
+
+
+def _linked(threshold: float) -> Callable:
+    """A spanning forest of the links between two blocks: pairs that could be, verified unless they are joined already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends: list[list[int]] = [[], []]
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                a, b = _block(left), _block(right)
+                bags = [[np.frombuffer(r["bag"], np.uint32) for r in side] for side in (left, right)]
+                top: dict[int, int] = {}
+
+                def root(x: int, top: dict[int, int] = top) -> int:
+                    while top.get(x, x) != x:
+                        top[x] = top.get(top[x], top[x])
+                        x = top[x]
+                    return x
+
+                for i, j in np.argwhere(_could_link(a, b)):
+                    x, y = bags[0][i], bags[1][j]
+                    if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+                        continue
+                    one, two = root(int(a[1][i])), root(int(b[1][j]))
+                    if one != two and similarity(x, y) >= threshold - 1e-12:
+                        top[one] = two
+                        ends[0].append(int(a[0][i]))
+                        ends[1].append(int(b[0][j]))
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,19 +327,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     edges = stash(edges.unionByName(verify(crossing(rest, labels))), "links")
     labels = components(edges)
 
-    # buckets of several components: nodes outside the largest against all of other labels
-    placed = shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    several = stash(placed.join(mixed.select("key", "largest"), "key").join(company, "node"), "several")
-    asking = several.where("label <> largest").select("key", "label", "node", "sig")
-    per_key = several.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
-    salted = several.join(per_key, "key").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    blocks = salted.groupBy("key", F.col("label").alias("other"), "salt").agg(F.collect_list(F.struct("node", "sig")).alias("held"))
-    met = asking.join(blocks.select("key", "other", F.col("held.node").alias("nodes"), F.col("held.sig").alias("sigs")), "key").where("label <> other")
-    found = met.select("node", "sig", "nodes", "sigs").mapInArrow(_against_blocks, "a long, b long")
-    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stash(edges.unionByName(verify(found)), "links")
+    # buckets of several components: nodes outside the largest against all, in blocks
+    def blocks(rows: DataFrame, by: str, held: list[str]) -> DataFrame:
+        sizes = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
+        salted = rows.join(sizes, by).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(by)), F.col("blocks")))
+        return salted.groupBy(by, "salt").agg(F.collect_list(F.struct(*held)).alias("held"))
+
+    def pairs_of_blocks(rows: DataFrame, by: str, held: list[str]) -> DataFrame:
+        every = stash(blocks(rows, by, held), "blocks")
+        asking = blocks(rows.where("label <> largest"), by, held)
+        return asking.select(by, F.col("held").alias("left")).join(every.select(by, F.col("held").alias("right")), by).select("left", "right")
+
+    def mixed(rows: DataFrame, by: str) -> DataFrame:
+        sizes = rows.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"))
+        several = sizes.groupBy(by).agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        return rows.join(several.select(by, "largest"), by)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    unsettled = mixed(labelled(shared.select("key", "node")), "key").join(company, "node")
+    near = pairs_of_blocks(unsettled, "key", ["node", "label", "sig"]).mapInArrow(_span, "a long, b long")
+    groups = components(near).select("node", F.col("label").alias("grp"))
+    grouped = mixed(labelled(groups), "grp").join(company, "node").join(bags, "node")
+    found = pairs_of_blocks(grouped, "grp", ["node", "label", "sig", "bag"]).mapInArrow(_linked(threshold), "a long, b long")
+    edges = stash(edges.unionByName(found), "links")
     labels = components(edges)
 
     member = signed.select("__id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
