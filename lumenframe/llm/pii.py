@@ -13,6 +13,8 @@ dates are permuted within 1900 to 2099.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ ROUNDS = 10
 
 # Formats of what is found, most specific first.
 PATTERNS = {
-    "mail": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_\-.]{8,256}",
+    "mail": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}+\.)+[A-Za-z]{2,24}",
+    "secret": r"(?=[pstaPSTA])(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_\-.]{8,256}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,64}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
@@ -30,9 +32,17 @@ PATTERNS = {
     "card": r"(?<![\w\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-])",
     "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-][0-9]{2,4}){1,4}(?![\w]|[.\-][0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"\1", r"[\-/.]").replace(r"\2", r"[\-/.]")
+_NUMBERS = ("ip", "date", "national", "card", "phone")
+#: All patterns; those of numbers are tried only where one can begin.
+ANY = "|".join([*(f"(?:{p})" for kind, p in PATTERNS.items() if kind not in _NUMBERS), "(?=[0-9+(])(?:" + "|".join(f"(?:{PATTERNS[kind]})" for kind in _NUMBERS) + ")"])
+ANY = ANY.replace(r"\1", r"[\-/.]").replace(r"\2", r"[\-/.]")
 #: What a text must have for any of the patterns to match.
-HINT = r"[0-9]{2}|[0-9]\.[0-9]|@|(?i:passw|pwd|secret|token|key)"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]{1,3}\.[0-9]|[0-9][\-/ .][0-9]|[A-Z]{2}[0-9]{2}|A[KS]IA|gh[pousr]_|sk-|(?=[pstkPSTK])(?i:passw|pwd|secret|token|key)[a-zA-Z\"']{0,9}[ \t]{0,3}[=:]"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _number(hex_digits: Column) -> Column:
@@ -70,7 +80,7 @@ def feistel_digits(digits: Column, key: str, tag: str, backwards: bool = False)
     right = n - left
     power = lambda x: F.rpad(F.lit("1"), x + 1, "0").cast("long")
     pair = feistel_pair(F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, right).cast("long"), power(left), power(right), key, tag, backwards)
-    return F.transform(F.array(pair), lambda p: F.concat(_padded(p["a"], left), _padded(p["b"], right)))[0]
+    return _let(pair, lambda p: F.concat(_padded(p["a"], left), _padded(p["b"], right)))
 
 
 def _digits(text: Column) -> Column:
@@ -79,10 +89,14 @@ def _digits(text: Column) -> Column:
 
 def _refilled(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced, one after the other, by ``digits``."""
-    step = lambda acc, c: F.when(
-        c.rlike("^[0-9]$"), F.struct(F.concat(acc["out"], F.substring(digits, acc["i"] + 1, F.lit(1))).alias("out"), (acc["i"] + 1).alias("i"))
-    ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["i"].alias("i")))
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step)["out"]
+
+    def fill(new: Column) -> Column:
+        step = lambda acc, c: F.when(
+            c.rlike("^[0-9]$"), F.struct(F.concat(acc["out"], F.substring(new, acc["i"] + 1, F.lit(1))).alias("out"), (acc["i"] + 1).alias("i"))
+        ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["i"].alias("i")))
+        return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step)["out"]
+
+    return _let(digits, fill)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -97,11 +111,15 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = _digits(m)
-    n = F.length(digits)
-    body = F.concat(F.substring(digits, 1, 1), feistel_digits(F.substring(digits, F.lit(2), n - 2), key, "card"))
-    check = F.pmod(F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-    return F.when((n >= 13) & (_luhn_sum(digits) % 10 == 0), _refilled(m, F.concat(body, check.cast("string"))))
+    def checked(body: Column) -> Column:
+        return F.concat(body, F.pmod(F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+
+    def new(digits: Column) -> Column:
+        n = F.length(digits)
+        body = F.concat(F.substring(digits, 1, 1), feistel_digits(F.substring(digits, F.lit(2), n - 2), key, "card"))
+        return F.when((n >= 13) & (_luhn_sum(digits) % 10 == 0), _refilled(m, _let(body, checked)))
+
+    return _let(_digits(m), new)
 
 
 def _mod97(text: Column) -> Column:
@@ -119,22 +137,27 @@ def _iban(m: Column, key: str) -> Column:
     country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
     inside = _digits(body)
     new = F.when(F.length(inside) >= 2, _refilled(body, feistel_digits(inside, key, "iban"))).otherwise(body)
-    check = F.lpad((F.lit(98) - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    whole = F.concat(check, new)
-    spaced = F.aggregate(
-        F.split(F.substring(m, F.lit(3), F.length(m)), ""),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("i")),
-        lambda acc, c: F.when(c == " ", F.struct(F.concat(acc["out"], c).alias("out"), acc["i"].alias("i"))).otherwise(
-            F.struct(F.concat(acc["out"], F.substring(whole, acc["i"] + 1, F.lit(1))).alias("out"), (acc["i"] + 1).alias("i"))
-        ),
-    )["out"]
-    return F.when(F.length(plain).between(15, 34) & (_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1), F.concat(country, spaced))
+
+    def checked(account: Column) -> Column:
+        return F.concat(F.lpad((F.lit(98) - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+
+    def spaced(whole: Column) -> Column:
+        return F.aggregate(
+            F.split(F.substring(m, F.lit(3), F.length(m)), ""),
+            F.struct(F.lit("").alias("out"), F.lit(0).alias("i")),
+            lambda acc, c: F.when(c == " ", F.struct(F.concat(acc["out"], c).alias("out"), acc["i"].alias("i"))).otherwise(
+                F.struct(F.concat(acc["out"], F.substring(whole, acc["i"] + 1, F.lit(1))).alias("out"), (acc["i"] + 1).alias("i"))
+            ),
+        )["out"]
+
+    valid = F.length(plain).between(15, 34) & (_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1)
+    return F.when(valid, F.concat(country, _let(_let(new, checked), spaced)))
 
 
 def _ip(m: Column, key: str) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("int"))
     high, low = parts[0] * 256 + parts[1], parts[2] * 256 + parts[3]
-    new = F.transform(F.array(feistel_pair(high, low, F.lit(65536), F.lit(65536), key, "ip")), lambda p: F.concat_ws(".", (p["a"] / 256).cast("int"), p["a"] % 256, (p["b"] / 256).cast("int"), p["b"] % 256))[0]
+    new = _let(feistel_pair(high, low, F.lit(65536), F.lit(65536), key, "ip"), lambda p: F.concat_ws(".", (p["a"] / 256).cast("int"), p["a"] % 256, (p["b"] / 256).cast("int"), p["b"] % 256))
     return F.when(F.forall(parts, lambda p: p <= 255), new)
 
 
@@ -145,17 +168,22 @@ _DAYS = (17, 4297)
 def _date(m: Column, key: str) -> Column:
     mark = F.regexp_extract(m, r"([\-/.])", 1)
     parts = F.split(m, r"[\-/.]")
-    year_first = F.length(parts[0]) == 4
-    day_first = F.try_to_date(F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")), "yyyy-MM-dd")
-    month_first = F.try_to_date(F.concat_ws("-", parts[2], F.lpad(parts[0], 2, "0"), F.lpad(parts[1], 2, "0")), "yyyy-MM-dd")
-    iso = F.try_to_date(F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")), "yyyy-MM-dd")
-    date = F.when(year_first, iso).otherwise(F.coalesce(day_first, month_first))
     start = F.lit("1900-01-01").cast("date")
-    at = F.datediff(date, start)
-    new = F.transform(F.array(feistel_pair((at / _DAYS[1]).cast("int"), at % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date")), lambda p: F.date_add(start, (p["a"] * _DAYS[1] + p["b"]).cast("int")))[0]
-    year, month, day = F.date_format(new, "yyyy"), F.date_format(new, "MM"), F.date_format(new, "dd")
-    text = F.when(year_first, F.concat(year, mark, month, mark, day)).when(day_first.isNotNull(), F.concat(day, mark, month, mark, year)).otherwise(F.concat(month, mark, day, mark, year))
-    return F.when(date.between(start, F.lit("2099-12-31").cast("date")), text)
+
+    def read(year: int, month: int, day: int) -> Column:
+        return F.try_to_date(F.concat_ws("-", parts[year], F.lpad(parts[month], 2, "0"), F.lpad(parts[day], 2, "0")), "yyyy-MM-dd")
+
+    def moved(date: Column) -> Column:
+        at = F.datediff(date, start)
+        pair = feistel_pair((at / _DAYS[1]).cast("int"), at % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date")
+        return _let(pair, lambda p: F.date_add(start, (p["a"] * _DAYS[1] + p["b"]).cast("int")))
+
+    def written(new: Column) -> Column:
+        year, month, day = F.date_format(new, "yyyy"), F.date_format(new, "MM"), F.date_format(new, "dd")
+        return F.when(F.length(parts[0]) == 4, F.concat(year, mark, month, mark, day)).when(read(2, 1, 0).isNotNull(), F.concat(day, mark, month, mark, year)).otherwise(F.concat(month, mark, day, mark, year))
+
+    date = F.when(F.length(parts[0]) == 4, read(0, 1, 2)).otherwise(F.coalesce(read(2, 1, 0), read(2, 0, 1)))
+    return _let(date, lambda d: F.when(d.between(start, F.lit("2099-12-31").cast("date")), _let(moved(d), written)))
 
 
 def _national(m: Column, key: str) -> Column:
@@ -174,8 +202,10 @@ def _phone(m: Column, key: str) -> Column:
 def _like(value: Column, key: str, tag: str) -> Column:
     """Of the same length and kinds of characters, by a keyed digest of the value."""
     digest = F.concat(*[F.sha2(F.concat_ws(":", F.lit(key), F.lit(tag), F.lit(i), value), 256) for i in range(2)])
-    hexadecimal = value.rlike("^[0-9a-f]+$")
+    return _let(F.struct(digest.alias("d"), value.rlike("^[0-9a-f]+$").alias("hex")), lambda x: _alike(value, x["d"], x["hex"]))
+
 
+def _alike(value: Column, digest: Column, hexadecimal: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         v = F.conv(F.substring(digest, (i * 2) % 127 + 1, F.lit(2)), 16, 10).cast("int")
         return (
