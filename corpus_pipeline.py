@@ -15,9 +15,7 @@ from lumenframe.llm._store import stash
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling draws."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rated = quality.resample_quality(docs, labels, carry=tuple(docs.columns))
-    return rated.where("kept").select(*docs.columns)
+    return quality.keep_drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,13 +151,8 @@ def _kth_largest(keys: DataFrame, k: int) -> float:
         low, high = row["low"], row["high"]
 
 
-def resample_quality(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, seed: int = 7, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """Returns for each row of ``docs`` its id, ``log_ratio`` (per n-gram, target over raw), ``kept`` and the columns in ``carry``.
-
-    Labels whose crc32 of the id modulo 3 is 1 are held out.
-    """
+def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, seed: int, carry: tuple[str, ...]) -> DataFrame:
+    """(__id, ratio, __kept and, by number, the columns in ``carry``)."""
     spark = docs.sparkSession
     label = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).where("id is not null and good in (0, 1)")
     label = label.groupBy("id").agg(F.min("good").alias("good")).withColumn("fold", (F.crc32(F.col("id").cast("string")) % 3).cast("int"))
@@ -182,4 +177,19 @@ def resample_quality(
     k = weighed.where(F.col("ratio") >= F.lit(level)).count()
     cut = _kth_largest(weighed.select("key"), k)
     kept = F.coalesce(F.col("key") >= F.lit(cut), F.lit(False))
-    return keyed.select(F.col("__id").alias(id_col), F.col("ratio").alias("log_ratio"), kept.alias("kept"), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry) if c != id_col])
+    return keyed.select("__id", "ratio", kept.alias("__kept"), *[f"__c{i}" for i in range(len(carry))])
+
+
+def resample_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, seed: int = 7) -> DataFrame:
+    """Returns for each row of ``docs`` its id, ``log_ratio`` (per n-gram, target over raw) and ``kept``.
+
+    Labels whose crc32 of the id modulo 3 is 1 are held out.
+    """
+    drawn = _drawn(docs, labels, id_col, text_col, label_col, sample, seed, ())
+    return drawn.select(F.col("__id").alias(id_col), F.col("ratio").alias("log_ratio"), F.col("__kept").alias("kept"))
+
+
+def keep_drawn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` that the sampling keeps, with all their columns."""
+    drawn = _drawn(docs, labels, id_col, text_col, label_col, sample, seed, tuple(docs.columns))
+    return drawn.where("__kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
