@@ -73,13 +73,14 @@ def newton(df: DataFrame, size: int, *, iterations: int = 5, penalty: float = 0.
 
 
 def lbfgs(df: DataFrame, features: str = "features", label: str = "label", iterations: int = 100, penalty: float = 0.0) -> list[float]:
-    """Quasi-Newton fit by Spark's own solver."""
+    """Quasi-Newton fit by Spark's own solver; the first feature is the bias."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    rows = df.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"))
-    fit = LogisticRegression(fitIntercept=False, standardization=False, maxIter=iterations, regParam=penalty, tol=1e-10).fit(rows)
-    return fit.coefficients.toArray().tolist()
+    rest = F.slice(F.col(features), F.lit(2), F.size(features) - 1)
+    rows = df.select(array_to_vector(rest).alias("features"), F.col(label).cast("double").alias("label"))
+    fit = LogisticRegression(standardization=False, maxIter=iterations, regParam=penalty, tol=1e-10).fit(rows)
+    return [fit.intercept, *fit.coefficients.toArray().tolist()]
 
 
 def gram(df: DataFrame, predictors: Sequence[str], target: str, bias: bool = True) -> DataFrame:
