@@ -9,8 +9,8 @@ m (ln m + 5) points for a text of any length.
 
 1. Equal texts are one node. Signatures are cut into bands; nodes that agree in a band share a
    bucket. Each bucket names one node, another in each band, for its others to pair with.
-2. Pairs whose signatures agree enough are verified on the texts' shingles: first each node's
-   best, then those that still cross components.
+2. Of the pairs whose signatures agree enough each node's best few are verified on the texts'
+   shingles; they connect most of each component.
 3. Buckets that still hold several components compare the nodes outside the largest with all
    others, block by block, by signature; of the pairs that could reach the threshold a block gives
    only a spanning forest, which puts every such pair in one group. Groups of several components
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _text as tx
@@ -42,6 +42,8 @@ COMPONENTS, BANDS = 128, 32
 AGREEING = 77
 _FILTER_LOG2 = 26
 _BLOCK = 256
+#: Pairs of a node that are verified first.
+_FIRST = 3
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -272,19 +274,19 @@ def _linked(threshold: float) -> Callable:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of an undirected graph (a, b); a label is the least node of its component."""
-    now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    before = None
+    now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "cc")
     while True:
+        # stars already: each node has one lower neighbour, which has none itself
+        lower = now.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        if lower.where("m <> most").isEmpty() and now.join(lower.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            stars = now.distinct()
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = stash(small.select("e.u", "e.v").where("u <> v").distinct(), "cc")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        before = state
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -312,20 +314,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         one = pairs.select("a", "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
         return one.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verified(threshold), "a long, b long")
 
-    def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-        return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-
     pairs = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     rated = pairs.join(company.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(company.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     rated = stash(rated.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long, same int"), "pairs")
-    best = rated.groupBy("a").agg(F.max(F.struct("same", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    order = Window.partitionBy("a").orderBy(F.desc("same"), "b")
+    best = rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _FIRST).select("a", "b")
     edges = stash(verify(best), "links")
     labels = components(edges)
-    rest = rated.join(best, ["a", "b"], "left_anti")
-    edges = stash(edges.unionByName(verify(crossing(rest, labels))), "links")
-    labels = components(edges)
 
     # buckets of several components: nodes outside the largest against all, in blocks
     def blocks(rows: DataFrame, by: str, held: list[str]) -> DataFrame:
