@@ -44,6 +44,8 @@ _FILTER_LOG2 = 26
 _BLOCK = 256
 #: Pairs of a node that are verified first.
 _FIRST = 3
+#: Nodes whose components a task holds before it writes them out.
+_HELD = 1 << 20
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -272,9 +274,37 @@ def _linked(threshold: float) -> Callable:
     return run
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a task's own edges as stars (u, v) around their least nodes v."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = top.get(top[x], top[x])
+            x = top[x]
+        return x
+
+    def rows() -> pa.RecordBatch:
+        nodes = list(top)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+        if len(top) >= _HELD:
+            yield rows()
+            top.clear()
+    yield rows()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of the nodes of an undirected graph (a, b); a label is the least node of its component."""
-    now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "cc")
+    """(node, label) of the nodes of an undirected graph (a, b); a label is the least node of its component.
+
+    Each task first reduces its own edges to stars, so what is joined is at most a row per node and task.
+    """
+    now = stash(edges.select("a", "b").mapInArrow(_stars, "u long, v long").distinct(), "cc")
     while True:
         # stars already: each node has one lower neighbour, which has none itself
         lower = now.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
