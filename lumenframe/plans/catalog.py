@@ -82,11 +82,11 @@ def ratings_sampled(spark, sf_dir):
 
 @query("cooccurrence", f"WITH {S.similarity('cooccurrence')}, big AS (SELECT * FROM pairs WHERE both_ >= 3) SELECT i, j, dot, both_ AS n_both FROM big")
 def cooccurrence(spark, sf_dir):
-    return similarity.cooccurrence(data.ratings(spark, sf_dir)).where("n_both >= 3")
+    return similarity.cooccurrence(data.ratings(spark, sf_dir))
 
 
 def _similar(measure, spark, sf_dir):
-    found = similarity.similarities(data.ratings(spark, sf_dir), measure, min_both=3)
+    found = similarity.similarities(data.ratings(spark, sf_dir), measure)
     return found.select("i", "j", rounded("similarity").alias("similarity"))
 
 
