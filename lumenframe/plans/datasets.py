@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.session import table
+from lumenframe.session import cut, table
 
 #: Weights of a fixed model over the tabular features (bias first).
 WEIGHTS = [-0.5, 0.8, -0.3, 0.4, 0.1]
@@ -43,17 +43,18 @@ def first_centres(points: DataFrame) -> DataFrame:
     return points.groupBy(F.col("cls").alias("cid")).agg(F.min_by("point", "id").alias("point"))
 
 
-def token_rows(spark: SparkSession, sf_dir: str, min_docs: int = 20) -> DataFrame:
-    """(id, label, dim, value): frequent words of labelled documents, their counts capped at 5 and scaled."""
-    from pyspark.sql import Window
-
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, dim, value): all words of labelled documents, their whole counts scaled by 5; dims in order of the words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", "quality"), "doc_id")
     words = docs.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''")
-    counts = words.groupBy("id", "label", "token").agg(F.count(F.lit(1)).alias("n"))
-    frequent = counts.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    # the vocabulary is what a document frequency leaves: its numbering needs one order of it
-    dims = frequent.withColumn("dim", (F.dense_rank().over(Window.orderBy("token")) - 1).cast("int")).select("token", "dim")
-    return counts.join(dims, "token").select("id", "label", "dim", (F.least("n", F.lit(5)) / 5).alias("value"))
+    counts = cut(words.groupBy("id", "label", "token").agg(F.count(F.lit(1)).alias("n")))
+    # numbered within ranges, then over the ranges' sizes: no task holds the whole vocabulary
+    ranged = cut(counts.select("token").distinct().repartitionByRange("token").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    place = F.row_number().over(Window.partitionBy("range").orderBy("token")) - 1
+    dims = ranged.withColumn("place", place).join(F.broadcast(sizes), "range").select("token", (F.col("before") + F.col("place")).cast("int").alias("dim"))
+    return counts.join(dims, "token").select("id", "label", "dim", (F.col("n") / 5).alias("value"))
 
 
 def base_model(spark: SparkSession) -> DataFrame:
