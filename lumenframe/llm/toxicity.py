@@ -259,8 +259,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     known = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learn = stash(known.join(F.broadcast(least[0].unionByName(least[1])), "id").select("text", "toxic", "fold"), "toxicity-sample")
     counted = learn.mapInArrow(_count, "gram long, cell int, n long").groupBy("gram").agg(*[F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4)])
-    # an n-gram of a single text is all but taken off by the discount
-    counted = counted.where("n0 + n1 + n2 + n3 > 1").toArrow()
+    # those of a single text too: the lower orders count continuations from them
+    counted = counted.toArrow()
     gram = counted["gram"].to_numpy().view(np.uint64)
     n = [counted[f"n{c}"].to_numpy() for c in range(4)]
     source = docs.select(F.col(id_col).alias("__id"), third(F.col(id_col)).alias("__part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import string
 
-from lumenframe.llm import pii
+from lumenframe.llm import pii, toxicity
 
 
 def test_long_secrets_are_replaced_whole(spark):
@@ -18,3 +18,13 @@ def test_long_secrets_are_replaced_whole(spark):
         assert not any(was[k : k + 12] in out[i].text for k in range(len(was) - 11))
     assert out[0].text.startswith("token=") and out[0].text.endswith(" end") and out[1].text.startswith("use sk-")
     assert out[0].text[6:306] != out[2].text[6:306]
+
+
+def test_toxicity_learns_ngrams_of_a_single_text(spark, monkeypatch):
+    learned = []
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda gram, counts: learned.append(counts) or real(gram, counts))
+    docs = spark.createDataFrame([(i, f"common words {chr(97 + i) * 3}rare{chr(122 - i)}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.score_toxicity(docs, labels).count() == 20
+    assert (learned[-1].sum(1) == 1).any()
