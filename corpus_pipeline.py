@@ -35,8 +35,8 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mixture takes of each document."""
-    return mixing.mix_sources(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
+    """The documents of which the mixture takes something, and how much."""
+    return mixing.mix_sources(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source"))).where("taken > 0")
 
 
 STAGES = [

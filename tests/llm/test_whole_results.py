@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 import string
 
-from lumenframe.llm import pii, toxicity
+import corpus_pipeline
+from lumenframe.llm import mixing, pii, toxicity
 
 
 def test_long_secrets_are_replaced_whole(spark):
@@ -28,3 +29,10 @@ def test_toxicity_learns_ngrams_of_a_single_text(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(20)], "doc_id long, toxic int")
     assert toxicity.score_toxicity(docs, labels).count() == 20
     assert (learned[-1].sum(1) == 1).any()
+
+
+def test_pipeline_leaves_out_what_the_mixture_does_not_take(spark):
+    docs = spark.createDataFrame([(i, "some words of text", "a" if i < 90 else "b") for i in range(100)], "doc_id long, text string, source string")
+    want = {(r.doc_id, r.taken) for r in mixing.mix_sources(docs).where("taken > 0").collect()}
+    got = {(r.doc_id, r.taken) for r in corpus_pipeline.mix(spark, docs, "").collect()}
+    assert got == want and 0 < len(got) < 100
