@@ -22,7 +22,7 @@ Components are found by alternating large-star and small-star steps.
 Defined results: texts without words are classes of their own; a text of fewer words than a
 shingle is one shingle; a row's class id is the least id in its class (null if all are null);
 nodes are told apart by 64 bits of hash. At similarity 0.8 a pair of texts misses all 32 bands
-of 4 with probability 4e-13; at 0.8 exactly a pair is dropped by its signatures with less than 1e-6.
+of 4 with probability 5e-8; at 0.8 exactly a pair is dropped by its signatures with less than 1e-6.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _multisets(packed, size: int) -> Callable:
-    """Sorted 32-bit shingle hashes of the texts whose nodes have company."""
+    """Sorted 64-bit shingle hashes of the texts whose nodes have company."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = tx.BitSet(_FILTER_LOG2, packed.value)
@@ -172,7 +172,7 @@ def _multisets(packed, size: int) -> Callable:
                     continue
                 row, h = shingles(text, lo, hi, size)
                 keep = use[lo + row]
-                row, h = row[keep], (h[keep] >> np.uint64(32)).astype(np.uint32)
+                row, h = row[keep], h[keep]
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -185,9 +185,10 @@ def _multisets(packed, size: int) -> Callable:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted multisets of 32-bit values."""
-    key = lambda x: x.astype(np.uint64) << np.uint64(32) | (np.arange(len(x)) - np.searchsorted(x, x)).astype(np.uint64)
-    both = len(np.intersect1d(key(a), key(b), assume_unique=True))
+    """Weighted Jaccard similarity of two sorted multisets of 64-bit values."""
+    (a_value, a_count), (b_value, b_count) = (np.unique(x, return_counts=True) for x in (a, b))
+    _, i, j = np.intersect1d(a_value, b_value, assume_unique=True, return_indices=True)
+    both = int(np.minimum(a_count[i], b_count[j]).sum())
     return both / max(1, len(a) + len(b) - both)
 
 
@@ -197,7 +198,7 @@ def _verified(threshold: float) -> Callable:
             good = [
                 i
                 for i, (a, b) in enumerate(zip(batch.column("bag_a").to_pylist(), batch.column("bag_b").to_pylist(), strict=True))
-                if min(len(a), len(b)) >= threshold * max(len(a), len(b)) - 1e-9 and similarity(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) >= threshold - 1e-12
+                if min(len(a), len(b)) >= threshold * max(len(a), len(b)) - 1e-9 and similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= threshold - 1e-12
             ]
             at = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
@@ -251,7 +252,7 @@ def _linked(threshold: float) -> Callable:
             ends: list[list[int]] = [[], []]
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 a, b = _block(left), _block(right)
-                bags = [[np.frombuffer(r["bag"], np.uint32) for r in side] for side in (left, right)]
+                bags = [[np.frombuffer(r["bag"], np.uint64) for r in side] for side in (left, right)]
                 top: dict[int, int] = {}
 
                 def root(x: int, top: dict[int, int] = top) -> int:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import random
 import string
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from lumenframe.llm import mixing, pii, toxicity
+from lumenframe.llm import _text as tx
+from lumenframe.llm import bagminhash, mixing, pii, toxicity
 
 
 def test_long_secrets_are_replaced_whole(spark):
@@ -36,3 +41,14 @@ def test_pipeline_leaves_out_what_the_mixture_does_not_take(spark):
     want = {(r.doc_id, r.taken) for r in mixing.mix_sources(docs).where("taken > 0").collect()}
     got = {(r.doc_id, r.taken) for r in corpus_pipeline.mix(spark, docs, "").collect()}
     assert got == want and 0 < len(got) < 100
+
+
+def test_near_duplicates_are_verified_on_whole_hashes():
+    a, b = (np.array(x, np.uint64) for x in ([5, 5, 9], [5 | 1 << 40, 5, 9]))
+    assert bagminhash.similarity(a, b) == 0.5 and bagminhash.similarity(a, a) == 1
+    text = "one two three four five six one two three four five six"
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([7], pa.int64())], ["__text", "__node"])
+    full = SimpleNamespace(value=b"\xff" * (1 << bagminhash._FILTER_LOG2 - 3))
+    (out,) = bagminhash._multisets(full, 5)([batch])
+    want = np.sort(bagminhash.shingles(tx.column(batch.column("__text")), 0, 1, 5)[1])
+    assert np.array_equal(np.frombuffer(out.column("bag")[0].as_py(), np.uint64), want)
