@@ -488,7 +488,8 @@ def rf_partition(spark, sf_dir):
 
 @query("rf_build")
 def rf_build(spark, sf_dir):
-    return forest.build(data.order_samples(spark, sf_dir), 4, trees=2, max_depth=3)
+    points = data.vectors(spark, sf_dir).select("id", F.col("cls").cast("int").alias("label"), F.col("point").alias("features"))
+    return forest.build(points, 64, trees=2)
 
 
 _TREES = [(0, 0, 1, 100.0, None), (0, 1, None, None, 0), (0, 2, 0, 4.0, None), (0, 5, None, None, 1), (0, 6, None, None, 0), (1, 0, 2, 0.02, None), (1, 1, None, None, 1), (1, 2, None, None, 0), (2, 0, None, None, 1)]

@@ -79,3 +79,11 @@ def test_sfo_takes_all_words_and_counts(spark, words_dir):
     got = {r.dim: r.coefficient for r in catalog.queries()["sfo_coefficients"](spark, folder).collect()}
     assert got == {d: pytest.approx(b, abs=1e-4) for d, b in found.items()}
     assert {r.dim for r in catalog.queries()["sfo_gains"](spark, folder).collect()} == {d for d, b in found.items() if b != 0}
+
+
+def test_rf_build_takes_embeddings_to_full_depth(spark):
+    trees = catalog.queries()["rf_build"](spark, "/root/testdata/sf0.01").collect()
+    assert any((r.feature or 0) > 3 for r in trees)
+    inner = {(r.tree, r.node) for r in trees if r.label is None}
+    # a node is a leaf or has both children
+    assert inner and {(r.tree, r.node) for r in trees} == {(t, 0) for t in (0, 1)} | {(t, 2 * n + k) for t, n in inner for k in (1, 2)}
