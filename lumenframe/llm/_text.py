@@ -13,6 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -147,11 +149,31 @@ class BitSet:
         self.shift = np.uint64(64 - log2)
         self.packed = np.zeros(1 << (log2 - 3), np.uint8) if packed is None else np.frombuffer(packed, np.uint8)
 
+    @classmethod
+    def read(cls, packed: bytes) -> BitSet:
+        return cls(len(packed).bit_length() + 2, packed)
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes >> self.shift
         return (self.packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
+def bits_for(keys: int, most: int) -> int:
+    """Size (a power of two) of a filter for so many keys: 16 bits a key, up to ``most``.
+
+    A filter that is too full lets more pass, never less; the join behind it drops the rest.
+    """
+    return min(most, max(16, int(np.ceil(np.log2(max(1, keys)))) + 4))
+
+
+def collect_bits(keys: DataFrame, name: str, log2: int) -> bytes:
+    """Bits of all values of a column of 64-bit hashes, gathered as words of 64 bits."""
+    at = F.shiftrightunsigned(name, 64 - log2)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - log2}) & 63 as int))")
+    filled = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    return bitset_bytes(log2, filled["word"].to_numpy(), filled["bits"].to_numpy())
+
+
 def bitset_bytes(log2: int, index: np.ndarray, bits: np.ndarray) -> bytes:
     """Packed bits from 64-bit words (index, value); the rest is zero."""
     full = np.zeros(1 << (log2 - 6), np.uint64)

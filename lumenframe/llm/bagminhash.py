@@ -14,10 +14,12 @@ m (ln m + 5) points for a text of any length.
 3. Buckets that still hold several components compare the nodes outside the largest with all
    others, block by block, by signature; of the pairs that could reach the threshold a block gives
    only a spanning forest, which puts every such pair in one group. Groups of several components
-   are verified block by block on their shingles, and give only links. So a link between nodes of
-   a bucket is never lost, and no pairs but links are ever written out.
+   are compared block by block on their shingles, as matrix products, and give only a spanning
+   forest of the links. So a link between nodes of a bucket is never lost, and pairs are never
+   written out. Blocks are bounded in rows and bytes.
 
-Components are found by alternating large-star and small-star steps.
+Components are found by hooking to lower neighbours and pointer jumping; each task reduces what it
+holds to stars.
 
 Defined results: texts without words are classes of their own; a text of fewer words than a
 shingle is one shingle; a row's class id is the least id in its class (null if all are null);
@@ -28,10 +30,11 @@ of 4 with probability 5e-8; at 0.8 exactly a pair is dropped by its signatures w
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _text as tx
@@ -40,12 +43,16 @@ from lumenframe.llm._store import stash
 COMPONENTS, BANDS = 128, 32
 #: Components that must agree for a pair to be verified: over five deviations below 0.8 of all.
 AGREEING = 77
-_FILTER_LOG2 = 26
-_BLOCK = 256
+#: Bits of the filter of nodes with company, at most, as a power of two; beyond it more texts get bags than need them.
+_FILTER_LOG2 = 28
+#: Nodes, and bytes of signatures or bags, of a block.
+_BLOCK, _BLOCK_BYTES = 256, 1 << 20
+#: Columns of the matrices that blocks are compared by.
+_COLUMNS = 4096
 #: Pairs of a node that are verified first.
 _FIRST = 3
-#: Nodes whose components a task holds before it writes them out.
-_HELD = 1 << 20
+#: Edges that a task holds before it reduces them.
+_HELD = 1 << 18
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -156,17 +163,15 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _multisets(packed, size: int) -> Callable:
-    """Sorted 64-bit shingle hashes of the texts whose nodes have company."""
+    """Bags, sorted 64-bit shingle hashes, of the texts whose nodes have company."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = tx.BitSet(_FILTER_LOG2, packed.value)
+        wanted = tx.BitSet.read(packed.value)
         for batch in batches:
             text, node = tx.column(batch.column("__text")), batch.column("__node").to_numpy()
-            use = wanted.has(node.view(np.uint64))
             first = np.zeros(len(node), bool)
             first[np.unique(node, return_index=True)[1]] = True
-            use &= first
-            nodes, sets = [], []
+            use = wanted.has(node.view(np.uint64)) & first
             for lo, hi in tx.chunks(text):
                 if not use[lo:hi].any():
                     continue
@@ -176,10 +181,8 @@ def _multisets(packed, size: int) -> Callable:
                 order = np.lexsort((h, row))
                 row, h = row[order], h[order]
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
-                for i in np.flatnonzero(use[lo:hi]):
-                    nodes.append(node[lo + i])
-                    sets.append(h[at[i] : at[i + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "bag"])
+                has = np.flatnonzero(use[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo + has]), pa.array([h[at[i] : at[i + 1]].tobytes() for i in has], pa.binary())], ["node", "bag"])
 
     return run
 
@@ -192,20 +195,60 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def distinct(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Multisets (sorted by row and value) as sets: the k-th repeat of a value is a value of its own."""
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (values[1:] != values[:-1])]) if len(row) else np.zeros(0, np.int64)
+    nth = (np.arange(len(row)) - np.repeat(new, np.diff(np.r_[new, len(row)]))).astype(np.uint64)
+    return np.where(nth == 0, values, tx.mix(values + nth * np.uint64(_GOLDEN)))
+
+
+class _Binary(NamedTuple):
+    """A binary column of 64-bit values; ``of(i)`` is row ``i``."""
+
+    values: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def read(cls, array: pa.Array) -> _Binary:
+        col = tx.column(array)
+        return cls(col.data[col.offsets[0] : col.offsets[-1]].view(np.uint64), (col.offsets - col.offsets[0]) // 8)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.values[self.at[i] : self.at[i + 1]]
+
+
 def _verified(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [
-                i
-                for i, (a, b) in enumerate(zip(batch.column("bag_a").to_pylist(), batch.column("bag_b").to_pylist(), strict=True))
-                if min(len(a), len(b)) >= threshold * max(len(a), len(b)) - 1e-9 and similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= threshold - 1e-12
-            ]
-            at = pa.array(good, pa.int64())
+            if not batch.num_rows:
+                continue
+            a, b = _Binary.read(batch.column("bag_a")), _Binary.read(batch.column("bag_b"))
+            n, m = np.diff(a.at), np.diff(b.at)
+            near = np.flatnonzero(np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+            at = pa.array([i for i in near if similarity(a.of(i), b.of(i)) >= threshold - 1e-12], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
     return run
 
 
+class _Block(NamedTuple):
+    """Some nodes with labels, signatures and, where they are needed, bags."""
+
+    node: np.ndarray
+    label: np.ndarray
+    sig: np.ndarray
+    bags: _Binary | None
+
+
+def _blocks(column: pa.ListArray) -> list[_Block]:
+    """The blocks of a column of arrays of structs, as views of its buffers."""
+    held, cuts = column.values, column.offsets.to_numpy()
+    node, label = held.field("node").to_numpy(), held.field("label").to_numpy()
+    sig = _signature_rows(held.field("sig"))
+    bags = _Binary.read(held.field("bag")) if held.type.get_field_index("bag") >= 0 else None
+    return [_Block(node[lo:hi], label[lo:hi], sig[lo:hi], bags and _Binary(bags.values, bags.at[lo : hi + 1])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Labels of the rows and columns of a bipartite graph, the least row of each component; -1 without links."""
     n = len(links)
@@ -218,106 +261,117 @@ def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = new
 
 
-def _block(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array([r["node"] for r in rows]), np.array([r["label"] for r in rows]), np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, COMPONENTS)
-
-
-def _could_link(a: tuple, b: tuple) -> np.ndarray:
+def _could_link(a: _Block, b: _Block) -> np.ndarray:
     """Which pairs of two blocks are of different labels and agree enough."""
-    out = np.zeros((len(a[0]), len(b[0])), bool)
+    out = a.label[:, None] != b.label[None, :]
     for i in range(len(out)):
-        out[i] = ((b[2] == a[2][i]).sum(1) >= AGREEING) & (b[1] != a[1][i])
+        out[i] &= (b.sig == a.sig[i]).sum(1) >= AGREEING
     return out
 
 
-def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs of two blocks that could be links."""
-    for batch in batches:
-        ends: list[list[int]] = [[], []]
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            a, b = _block(left), _block(right)
-            rows, columns = _forest(_could_link(a, b))
-            for nodes, label in ((a[0], rows), (b[0], columns)):
-                use = (label >= 0) & (nodes != a[0][np.maximum(label, 0)])
-                ends[0] += nodes[use].tolist()
-                ends[1] += a[0][label[use]].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64())], ["a", "b"])
+def overlaps(a: _Binary, b: _Binary) -> np.ndarray:
+    """Sizes of the multiset intersections of each bag of ``a`` with each of ``b``, as products of incidence matrices."""
+    rows = [np.repeat(np.arange(len(c.at) - 1), np.diff(c.at)) for c in (a, b)]
+    bags = [distinct(c.values[c.at[0] : c.at[-1]], row) for c, row in zip((a, b), rows, strict=True)]
+    common = np.intersect1d(*bags)
+    out = np.zeros((len(a.at) - 1, len(b.at) - 1), np.float32)
+    sides = []
+    for values, row, n in zip(bags, rows, out.shape, strict=True):
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        hit = np.flatnonzero(common[at] == values) if len(common) else np.zeros(0, np.int64)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((at[order], row[order], n))
+    for lo in range(0, len(common), _COLUMNS):
+        parts = []
+        for at, row, n in sides:
+            i, j = np.searchsorted(at, (lo, lo + _COLUMNS))
+            part = np.zeros((n, min(_COLUMNS, len(common) - lo)), np.float32)
+            part[row[i:j], at[i:j] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _links(threshold: float) -> Callable:
+    """Which pairs of two blocks are links between labels, on their bags."""
 
+    def links(a: _Block, b: _Block) -> np.ndarray:
+        both = overlaps(a.bags, b.bags).astype(np.float64)
+        sizes = np.diff(a.bags.at)[:, None] + np.diff(b.bags.at)[None, :]
+        return (a.label[:, None] != b.label[None, :]) & (both >= (threshold - 1e-12) * (sizes - both))
 
-def _linked(threshold: float) -> Callable:
-    """A spanning forest of the links between two blocks: pairs that could be, verified unless they are joined already."""
+    return links
+
+
+def _span(links: Callable[[_Block, _Block], np.ndarray]) -> Callable:
+    """A spanning forest of what ``links`` finds between two blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends: list[list[int]] = [[], []]
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                a, b = _block(left), _block(right)
-                bags = [[np.frombuffer(r["bag"], np.uint64) for r in side] for side in (left, right)]
-                top: dict[int, int] = {}
-
-                def root(x: int, top: dict[int, int] = top) -> int:
-                    while top.get(x, x) != x:
-                        top[x] = top.get(top[x], top[x])
-                        x = top[x]
-                    return x
-
-                for i, j in np.argwhere(_could_link(a, b)):
-                    x, y = bags[0][i], bags[1][j]
-                    if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
-                        continue
-                    one, two = root(int(a[1][i])), root(int(b[1][j]))
-                    if one != two and similarity(x, y) >= threshold - 1e-12:
-                        top[one] = two
-                        ends[0].append(int(a[0][i]))
-                        ends[1].append(int(b[0][j]))
-            yield pa.RecordBatch.from_arrays([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64())], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            ends: list[list[np.ndarray]] = [[], []]
+            for a, b in zip(_blocks(batch.column("left")), _blocks(batch.column("right")), strict=True):
+                rows, columns = _forest(links(a, b))
+                for nodes, label in ((a.node, rows), (b.node, columns)):
+                    use = (label >= 0) & (nodes != a.node[np.maximum(label, 0)])
+                    ends[0].append(nodes[use])
+                    ends[1].append(a.node[label[use]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ends], ["a", "b"])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The components of a task's own edges as stars (u, v) around their least nodes v."""
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while top.get(x, x) != x:
-            top[x] = top.get(top[x], top[x])
-            x = top[x]
-        return x
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components of a graph as pairs of a node and the least node of its component, without the least nodes' own."""
+    ids, at = np.unique(np.r_[a, b], return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    top = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        if (low == high).all():
+            own = np.flatnonzero(top != np.arange(len(ids)))
+            return ids[own], ids[top[own]]
+        np.minimum.at(top, high, low)
+        while (top[top] != top).any():
+            top = top[top]
 
-    def rows() -> pa.RecordBatch:
-        nodes = list(top)
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a task's own edges (each row joins all its nodes) as stars (u, v) around their least nodes v."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                top[max(a, b)] = min(a, b)
-        if len(top) >= _HELD:
-            yield rows()
-            top.clear()
-    yield rows()
+        nodes = [c.to_numpy() for c in batch.columns]
+        for one, other in zip(nodes[:-1], nodes[1:], strict=True):
+            held.append((one, other))
+            size += len(one)
+        if size >= _HELD:
+            u, v = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [(u, v)], len(u)
+            if size >= _HELD // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                held, size = [], 0
+    if held:
+        u, v = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of the nodes of an undirected graph (a, b); a label is the least node of its component.
+    """(node, label) of the nodes of an undirected graph of edges (a, b), but for those that are their own labels.
 
-    Each task first reduces its own edges to stars, so what is joined is at most a row per node and task.
+    A label is the least node of its component. Each round gives every node its least lower
+    neighbour's least lower neighbour, and joins all its neighbours to that; each task reduces what it
+    has to stars before and after, so no round has more rows than a node has tasks.
     """
-    now = stash(edges.select("a", "b").mapInArrow(_stars, "u long, v long").distinct(), "cc")
+    now = stash(edges.select("a", "b").mapInArrow(_stars, "u long, v long"), "cc")
     while True:
-        # stars already: each node has one lower neighbour, which has none itself
         lower = now.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
-        if lower.where("m <> most").isEmpty() and now.join(lower.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            stars = now.distinct()
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = stash(small.where("u <> v").distinct(), "cc")
+        above = lower.select(F.col("u").alias("m"), F.col("m").alias("w"))
+        found = stash(lower.join(above, "m", "left").select("u", F.coalesce("w", "m").alias("root"), (F.col("w").isNotNull() | (F.col("most") > F.col("m"))).alias("busy")), "cc")
+        if found.where("busy").isEmpty():
+            return found.select(F.col("u").alias("node"), F.col("root").alias("label"))
+        now = stash(now.join(found, "u").select("u", "v", "root").mapInArrow(_stars, "u long, v long"), "cc")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -332,14 +386,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # the node a bucket names is the least under an order of the bucket's own
     named = bands.groupBy("key").agg(F.min(F.expr("node ^ key")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stash(bands.join(named.select("key", F.expr("least ^ key").alias("head")), "key"), "buckets")
-    company = nodes.join(shared.select("node").distinct(), "node", "left_semi")
-    company = stash(company, "company")
+    company = stash(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "company")
 
-    at = F.shiftrightunsigned("node", 64 - _FILTER_LOG2)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(node, {64 - _FILTER_LOG2}) & 63 as int))")
-    filled = company.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    packed = spark.sparkContext.broadcast(tx.bitset_bytes(_FILTER_LOG2, filled["word"].to_numpy(), filled["bits"].to_numpy()))
-    bags = stash(source.select("__node", "__text").mapInArrow(_multisets(packed, shingle), "node long, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+    packed = spark.sparkContext.broadcast(tx.collect_bits(company, "node", tx.bits_for(company.count(), _FILTER_LOG2)))
+    bags = source.select("__node", "__text").mapInArrow(_multisets(packed, shingle), "node long, bag binary")
+    bags = stash(bags.groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = pairs.select("a", "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
@@ -347,38 +398,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     pairs = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     rated = pairs.join(company.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(company.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    rated = stash(rated.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long, same int"), "pairs")
+    rated = rated.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long, same int")
     order = Window.partitionBy("a").orderBy(F.desc("same"), "b")
-    best = rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _FIRST).select("a", "b")
-    edges = stash(verify(best), "links")
-    labels = components(edges)
-
-    # buckets of several components: nodes outside the largest against all, in blocks
-    def blocks(rows: DataFrame, by: str, held: list[str]) -> DataFrame:
-        sizes = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
-        salted = rows.join(sizes, by).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(by)), F.col("blocks")))
-        return salted.groupBy(by, "salt").agg(F.collect_list(F.struct(*held)).alias("held"))
-
-    def pairs_of_blocks(rows: DataFrame, by: str, held: list[str]) -> DataFrame:
-        every = stash(blocks(rows, by, held), "blocks")
-        asking = blocks(rows.where("label <> largest"), by, held)
-        return asking.select(by, F.col("held").alias("left")).join(every.select(by, F.col("held").alias("right")), by).select("left", "right")
-
-    def mixed(rows: DataFrame, by: str) -> DataFrame:
-        sizes = rows.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"))
-        several = sizes.groupBy(by).agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        return rows.join(several.select(by, "largest"), by)
+    best = stash(rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _FIRST).select("a", "b"), "pairs")
+    labels = components(verify(best))
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    unsettled = mixed(labelled(shared.select("key", "node")), "key").join(company, "node")
-    near = pairs_of_blocks(unsettled, "key", ["node", "label", "sig"]).mapInArrow(_span, "a long, b long")
-    groups = components(near).select("node", F.col("label").alias("grp"))
-    grouped = mixed(labelled(groups), "grp").join(company, "node").join(bags, "node")
-    found = pairs_of_blocks(grouped, "grp", ["node", "label", "sig", "bag"]).mapInArrow(_linked(threshold), "a long, b long")
-    edges = stash(edges.unionByName(found), "links")
-    labels = components(edges)
+    # groups of several components: the nodes outside the largest against all, in blocks of a bounded size
+    def mixed(rows: DataFrame, by: str, held: DataFrame, size: Column) -> DataFrame:
+        sized = rows.join(held, "node").withColumn("bytes", size)
+        sizes = sized.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+        several = sizes.groupBy(by).agg(F.max(F.struct("n", "label", "bytes")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        blocks = lambda n, size: F.greatest(F.ceil(n / _BLOCK), F.ceil(size / _BLOCK_BYTES))
+        several = several.where("labels > 1").select(
+            by,
+            F.col("most.label").alias("largest"),
+            blocks(F.col("n"), F.col("bytes")).alias("all_blocks"),
+            blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("asking_blocks"),
+        )
+        return stash(sized.join(several, by).drop("bytes"), "mixed")
+
+    def pairs_of_blocks(rows: DataFrame, by: str, *held: str) -> DataFrame:
+        def blocks(some: DataFrame, count: str, name: str) -> DataFrame:
+            return some.groupBy(by, F.pmod(F.xxhash64("node", F.lit(count)), F.col(count)).alias("salt")).agg(F.collect_list(F.struct("node", "label", *held)).alias(name)).drop("salt")
+
+        return blocks(rows.where("label <> largest"), "asking_blocks", "left").join(blocks(rows, "all_blocks", "right"), by).select("left", "right")
+
+    unsettled = mixed(labelled(shared.select("key", "node")), "key", company, F.length("sig"))
+    near = stash(pairs_of_blocks(unsettled, "key", "sig").mapInArrow(_span(_could_link), "a long, b long"), "near")
+    groups = components(near)
+    groups = groups.select("node", F.col("label").alias("grp")).unionByName(groups.select(F.col("label").alias("node"), F.col("label").alias("grp")).distinct())
+    grouped = mixed(labelled(groups), "grp", company.join(bags, "node"), F.length("bag"))
+    found = pairs_of_blocks(grouped, "grp", "sig", "bag").mapInArrow(_span(_links(threshold)), "a long, b long")
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
 
     member = signed.select("__id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = member.where("node is not null").groupBy("label").agg(F.min("__id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
