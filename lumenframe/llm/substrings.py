@@ -1,23 +1,26 @@
 """Removal of long passages that an earlier document has, by prefix-partitioned suffix trees.
 
-Only suffixes that can matter are looked at. In any ``window`` of words the 16-word prefix with
-the least hash is its *anchor*; equal windows have equal anchors, so a window repeats only if its
-anchor does. A suffix tree is cut at depth ``window``: its deep internal nodes are the windows
-that start in several places, and a node's least doc_id is the one that keeps the passage.
-
-1. Anchors are counted over all documents (pre-aggregated in each task). Those of a single
-   document are leaves; a fixed-size bit set of the others goes to the executors.
-2. The suffixes under each remaining anchor form a group: the anchor is their common prefix.
-   Groups are memory-sized; an anchor with more than ``hot`` suffixes gets a longer prefix, the
-   whole window, which each task reduces to one row before the shuffle.
-3. Each group's subtree is built by sorting its suffixes' windows (as hashes of their words);
-   places of a deep node other than in its least document are marked.
+The trees are sparse: of all suffixes only those at *anchors* are in them. In any ``window`` of words
+the anchor is the place of the 16 words of least hash; equal windows have it at the same offset. So a
+repeat of ``window`` words or more holds an anchor whose suffixes, in both documents, agree to the right
+of it for ``d`` words or more and to the left for ``window - d``.
+
+1. The 16-word prefixes of the suffixes at anchors are counted over all documents (pre-aggregated in each
+   task). Those of a single document are leaves; a bit set of the others goes to the executors.
+2. The suffixes under a prefix form a group, with the words around the anchor. A prefix of more than
+   ``hot`` suffixes would not fit in memory and gets longer ones: of ``window`` words, from each start of
+   a window about the anchor. There the whole group is one deep node, of which only the least owner
+   matters, and each task reduces it to one row before the shuffle.
+3. Each group's subtree is built as a suffix array with the lengths of common prefixes; a second one of
+   the words before the anchor, read backwards, tells how far repeats extend to the left. The internal
+   nodes of depth ``d`` of the one and of depth ``window - d`` of the other are cut out; where they
+   meet is a maximal repeat, and its occurrences other than in its least document are marked.
 4. Marks join the documents, and covered words go.
 
 Defined results: null and empty texts have no words; a null id is neither earlier nor later than
-any other, so such rows keep all words; rows with the same id aren't earlier than each other.
-Windows are compared by 64 bits of anchor hash and 64 bits of window hash together (hot groups:
-64 bits of window hash).
+any other, so such rows keep all words; rows with the same id aren't earlier than each other; extra
+columns are ignored. Words are compared by 32 bits of their hash, so passages of 50 words by 1,600 (longer
+prefixes: 64 bits of the hash of the window).
 """
 
 from __future__ import annotations
@@ -32,10 +35,11 @@ from pyspark.sql import functions as F
 from lumenframe.llm import _text as tx
 from lumenframe.llm._store import stash
 
-#: Two to this power is the number of bits of the filter of repeated anchors (8 MB for each of two).
-FILTER_LOG2 = 26
+#: Two to this power is the most bits that a filter of repeated prefixes has (32 MB for each of two).
+FILTER_LOG2 = 28
 ANCHOR_WORDS = 16
-_GROUP_WINDOWS = 1 << 20
+#: Suffixes that a task sorts at once, about; a single group has ``hot`` at most.
+_SORTED = 1 << 15
 
 
 def _first_least(grams: np.ndarray, width: int) -> np.ndarray:
@@ -50,11 +54,11 @@ def _first_least(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(w: tx.Words, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with a common anchor: first window, last window, the anchor's hash, row."""
+    """Runs of windows with a common anchor: first window, last window, the anchor's hash, row, place."""
     n = len(w.row)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), none, none
     grams = tx.windows(w.hash, ANCHOR_WORDS)
     at = _first_least(grams, window - ANCHOR_WORDS + 1)
     good = tx.within_row(w.row, window)
@@ -64,7 +68,7 @@ def _anchors(w: tx.Words, window: int) -> tuple[np.ndarray, ...]:
     first, last = cuts[:-1], cuts[1:] - 1
     use = good[first]
     first, last = first[use], last[use]
-    return first, last, grams[at[first]], w.row[first]
+    return first, last, grams[at[first]], w.row[first], at[first]
 
 
 def _count_anchors(window: int) -> Callable:
@@ -74,7 +78,7 @@ def _count_anchors(window: int) -> Callable:
             text, ids = tx.column(batch.column("__text")), batch.column("__id").to_numpy(zero_copy_only=False)
             hashes, owners = [], []
             for lo, hi in tx.chunks(text):
-                _, _, h, row = _anchors(tx.words(text, lo, hi, classes), window)
+                _, _, h, row, _ = _anchors(tx.words(text, lo, hi, classes), window)
                 hashes.append(h)
                 owners.append(ids[lo + row])
             if not hashes:
@@ -92,66 +96,51 @@ def _count_anchors(window: int) -> Callable:
     return run
 
 
-def _ranges(marked: np.ndarray, group: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Marked windows at consecutive places of one group become one range: index of its first window, start, end."""
-    at = np.flatnonzero(marked)
-    if not len(at):
-        return at, at, at
-    new = np.r_[True, (np.diff(at) != 1) | (group[at[1:]] != group[at[:-1]]) | (np.diff(start[at]) != 1)]
-    head = np.flatnonzero(new)
-    tail = np.r_[head[1:], len(at)] - 1
-    return at[head], start[at[head]], start[at[tail]] + window
+def _ranges(row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Marked windows (in order) at consecutive places of one row become one range: index of its first window, start, end."""
+    if not len(row):
+        return row, start, start
+    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (np.diff(start) != 1)])
+    tail = np.r_[head[1:], len(row)] - 1
+    return head, start[head], start[tail] + window
 
 
-_FOUND = "kind int, key long, __id long, __th long, a long, b long, hashes binary"
+_FOUND = "kind int, key long, __id long, __th long, a long, b long, anchor int, words binary"
 
 
 def _suffixes(packed, window: int) -> Callable:
-    """Suffixes under repeated anchors. Kind 0: a run of windows with one anchor; 1: a window of a hot anchor; 2: a range that is marked already."""
+    """Suffixes under repeated prefixes. Kind 0: at an anchor, with the words of the windows about it; 1: a window with a hot anchor; 2: a range that is marked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = tx.byte_classes()
-        repeated, hot = (tx.BitSet(FILTER_LOG2, x) for x in packed.value)
+        repeated, hot = (tx.BitSet.read(x) for x in packed.value)
         for batch in batches:
             text, ids, ths = tx.column(batch.column("__text")), batch.column("__id").to_numpy(zero_copy_only=False), batch.column("__th").to_numpy()
-            key, owner, th, a, b, hashes = [], [], [], [], [], []
-            hot_parts = []
             for lo, hi in tx.chunks(text):
                 w = tx.words(text, lo, hi, classes)
-                first, last, h, row = _anchors(w, window)
+                first, last, h, row, at = _anchors(w, window)
                 use = repeated.has(h)
-                first, last, h, row = first[use], last[use], h[use], row[use]
+                first, last, h, row, at = first[use], last[use], h[use], row[use], at[use]
                 if not len(h):
                     continue
-                full = tx.windows(w.hash, window)
-                is_hot = hot.has(h)
-                base = w.first[row]
-                for i in np.flatnonzero(~is_hot):
-                    hashes.append(full[first[i] : last[i] + 1].tobytes())
+                base, is_hot = w.first[row], hot.has(h)
+                codes = (w.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 cold = ~is_hot
-                key.append(h[cold])
-                owner.append(ids[lo + row[cold]])
-                th.append(ths[lo + row[cold]])
-                a.append((first - base)[cold])
-                b.append((last - base)[cold] + window)
+                words = [codes[i:j].tobytes() for i, j in zip(first[cold], last[cold] + window, strict=True)]
+                yield _found(0, h[cold], ids[lo + row[cold]], ths[lo + row[cold]], (first - base)[cold], (last - base)[cold] + window, (at - first)[cold], pa.array(words, pa.binary()))
                 if is_hot.any():
                     count = (last - first + 1)[is_hot]
-                    at = np.repeat(first[is_hot], count) + _within(count)
+                    place = np.repeat(first[is_hot], count) + _within(count)
                     r = np.repeat(row[is_hot], count)
-                    hot_parts.append((full[at], ids[lo + r], ths[lo + r], at - w.first[r]))
-            if key:
-                n = len(hashes)
-                yield _found(0, np.concatenate(key), np.concatenate(owner), np.concatenate(th), np.concatenate(a), np.concatenate(b), pa.array(hashes, pa.binary()) if n else pa.nulls(0, pa.binary()))
-            if hot_parts:
-                h, own, t, at = (np.concatenate(x) for x in zip(*hot_parts, strict=True))
-                _, node = np.unique(h, return_inverse=True)
-                least = np.full(node.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, node, own)
-                later = own > least[node]
-                place, start, end = _ranges(later, t, at, window)
-                yield _found(2, h[place], own[place], t[place], start, end)
-                stays = ~later
-                yield _found(1, h[stays], own[stays], t[stays], at[stays], at[stays] + window)
+                    full, own, th, start = tx.windows(w.hash, window)[place], ids[lo + r], ths[lo + r], place - w.first[r]
+                    _, node = np.unique(full, return_inverse=True)
+                    least = np.full(node.max() + 1, np.iinfo(np.int64).max)
+                    np.minimum.at(least, node, own)
+                    later = np.flatnonzero(own > least[node])
+                    head, a, b = _ranges(r[later], start[later], window)
+                    yield _found(2, full[later[head]], own[later[head]], th[later[head]], a, b)
+                    stays = own == least[node]
+                    yield _found(1, full[stays], own[stays], th[stays], start[stays], start[stays] + window)
 
     return run
 
@@ -162,35 +151,89 @@ def _within(count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
 
 
-def _found(kind: int, key, owner, th, a, b, hashes=None) -> pa.RecordBatch:
+def _found(kind: int, key, owner, th, a, b, anchor=None, words=None) -> pa.RecordBatch:
     n = len(key)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), pa.array(key.view(np.int64)), pa.array(owner), pa.array(th), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.nulls(n, pa.binary()) if hashes is None else hashes],
-        ["kind", "key", "__id", "__th", "a", "b", "hashes"],
+        [
+            pa.array(np.full(n, kind, np.int32)),
+            pa.array(key.view(np.int64)),
+            pa.array(owner),
+            pa.array(th),
+            pa.array(a.astype(np.int64)),
+            pa.array(b.astype(np.int64)),
+            pa.nulls(n, pa.int32()) if anchor is None else pa.array(anchor.astype(np.int32)),
+            pa.nulls(n, pa.binary()) if words is None else words,
+        ],
+        ["kind", "key", "__id", "__th", "a", "b", "anchor", "words"],
     )
 
 
+def suffix_array(group: np.ndarray, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes (rows of ``words``, 0 behind their ends) within groups, and of each the length of its common prefix with the one before; -1 between groups."""
+    packed = np.ascontiguousarray(words[:, : words.shape[1] // 2 * 2]).view(np.uint64)
+    keys = [*([words[:, -1]] if words.shape[1] % 2 else []), *packed.T[::-1], group]
+    order = np.lexsort(keys)
+    one, two = order[:-1], order[1:]
+    differ = words[one] != words[two]
+    common = np.where(differ.any(1), differ.argmax(1), words.shape[1]) if words.shape[1] else np.zeros(len(one), np.int64)
+    common = np.where(group[one] == group[two], np.minimum(common, np.minimum(length[one], length[two])), -1)
+    return order, np.r_[-1, common]
+
+
+def _nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """Of each suffix the node of a depth that it hangs from."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
+
+
+def repeats(group: np.ndarray, owner: np.ndarray, words: np.ndarray, at: np.ndarray, anchor: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (suffix, start among its words), in order, that also start in a smaller owner's words.
+
+    ``words[at[i]:at[i + 1]]`` are suffix ``i``'s words, with its anchor at ``anchor[i]``.
+    """
+    size = np.diff(at)
+    ahead, behind = size - anchor, anchor
+    widest = window - ANCHOR_WORDS
+    column = np.arange(window)
+    place = (at[:-1] + anchor)[:, None] + column
+    right = np.where(column < ahead[:, None], words[np.minimum(place, len(words) - 1)], 0)
+    column = np.arange(widest)
+    left = np.where(column < behind[:, None], words[np.maximum((at[:-1] + anchor - 1)[:, None] - column, 0)], 0)
+    forward, backward = suffix_array(group, right, ahead), suffix_array(group, left, behind)
+    marked = np.zeros((len(group), widest + 1), bool)
+    for back in range(widest + 1):
+        use = np.flatnonzero((ahead >= window - back) & (behind >= back))
+        if not len(use):
+            continue
+        node = (_nodes(*forward, window - back) * (len(group) + 1) + _nodes(*backward, back))[use]
+        order = np.argsort(node, kind="stable")
+        head = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0])
+        least = np.minimum.reduceat(owner[use[order]], head)
+        marked[use[order], widest - back] = owner[use[order]] > np.repeat(least, np.diff(np.r_[head, len(use)]))
+    row, start = np.nonzero(marked)
+    return row, start - widest + anchor[row]
+
+
 def _subtrees(window: int) -> Callable:
     """Marks within groups of suffixes; rows come ordered by group."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        raw = tx.column(rows.column("hashes"))
-        count = np.diff(raw.offsets) // 8
-        full = raw.data[raw.offsets[0] : raw.offsets[-1]].tobytes()
-        full = np.frombuffer(full, np.uint64)
-        group = np.repeat(np.arange(rows.num_rows), count)
-        prefix = rows.column("key").to_numpy().view(np.uint64)[group]
-        own = rows.column("__id").to_numpy()[group]
-        node = tx.mix(prefix) ^ full
-        order = np.argsort(node, kind="stable")
-        head = np.flatnonzero(np.r_[True, np.diff(node[order]) != 0])
-        least = np.minimum.reduceat(own[order], head)
-        later = np.empty(len(own), bool)
-        later[order] = own[order] > np.repeat(least, np.diff(np.r_[head, len(own)]))
-        start = rows.column("a").to_numpy()[group] + _within(count)
-        place, a, b = _ranges(later, group, start, window)
-        g = group[place]
-        return pa.RecordBatch.from_arrays([rows.column("__id").combine_chunks().take(pa.array(g)), rows.column("__th").combine_chunks().take(pa.array(g)), pa.array(a), pa.array(b)], ["__id", "__th", "a", "b"])
+        key, owner = rows.column("key").to_numpy(), rows.column("__id").to_numpy()
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        several = np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)
+        rows = rows.filter(pa.array(np.repeat(several, np.diff(np.r_[head, len(key)])))).combine_chunks()
+        key, owner = rows.column("key").to_numpy(), rows.column("__id").to_numpy()
+        if len(key):
+            raw = tx.column(rows.column("words"))
+            words = raw.data[raw.offsets[0] : raw.offsets[-1]].view(np.uint32)
+            group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+            row, start = repeats(group, owner, words, (raw.offsets - raw.offsets[0]) // 4, rows.column("anchor").to_numpy().astype(np.int64), window)
+            first, a, b = _ranges(row, rows.column("a").to_numpy()[row] + start, window)
+            row = row[first]
+        else:
+            row = a = b = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(owner[row], pa.int64()), pa.array(rows.column("__th").to_numpy()[row], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["__id", "__th", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -198,8 +241,8 @@ def _subtrees(window: int) -> Callable:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            size += batch.column("hashes").nbytes // 8
-            if size < _GROUP_WINDOWS:
+            size += batch.num_rows
+            if size < _SORTED:
                 continue
             rows = pa.Table.from_batches(held)
             key = rows.column("key").to_numpy()
@@ -207,7 +250,7 @@ def _subtrees(window: int) -> Callable:
             if cut:
                 yield solve(rows.slice(0, cut))
             held = rows.slice(cut).combine_chunks().to_batches()
-            size = sum(x.column("hashes").nbytes // 8 for x in held)
+            size = sum(x.num_rows for x in held)
         if held:
             yield solve(pa.Table.from_batches(held))
 
@@ -252,15 +295,12 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = source.where(F.col("__id").isNotNull())
     counted = named.select("__id", "__text").mapInArrow(_count_anchors(window), "h long, lo long, hi long, n long")
     repeated = counted.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo < hi")
-    at = F.shiftrightunsigned("h", 64 - FILTER_LOG2)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_LOG2}) & 63 as int))")
-    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits"), F.coalesce(F.bit_or(F.when(F.col("n") > hot, bit)), F.lit(0)).alias("hot"))
-    found = words.toPandas()
-    index = found["word"].to_numpy(np.int64)
-    packed = spark.sparkContext.broadcast([tx.bitset_bytes(FILTER_LOG2, index, found[x].to_numpy(np.int64)) for x in ("bits", "hot")])
+    repeated = stash(repeated.select("h", (F.col("n") > hot).alias("hot")), "prefixes")
+    log2 = tx.bits_for(repeated.count(), FILTER_LOG2)
+    packed = spark.sparkContext.broadcast([tx.collect_bits(x, "h", log2) for x in (repeated, repeated.where("hot"))])
 
     suffixes = stash(named.mapInArrow(_suffixes(packed, window), _FOUND), "suffixes")
-    cold = suffixes.where("kind = 0").select("key", "__id", "__th", "a", "hashes").repartition("key").sortWithinPartitions("key")
+    cold = suffixes.where("kind = 0").select("key", "__id", "__th", "a", "anchor", "words").repartition("key").sortWithinPartitions("key")
     marks = cold.mapInArrow(_subtrees(window), "__id long, __th long, a long, b long")
     long_prefix = suffixes.where("kind = 1").select("key", "__id", "__th", "a", "b")
     least = long_prefix.groupBy("key").agg(F.min("__id").alias("least"))
