@@ -1,17 +1,23 @@
 """Quality by importance resampling.
 
-Words, runs of punctuation and pairs of neighbours (all repeated tokens being one pair) hash into ``2**BUCKETS_LOG2`` buckets. One bag
-model is of all documents, one of target documents (labelled 1). A document's weight is the ratio
-of the two, per n-gram, tempered; Gumbel noise added to its logarithm and a cut at the k-th largest
-is a draw of k documents without replacement. k is the number of documents whose ratio is on the
-target's side of the level that parts labelled texts best, each rated by the model of the other
-fold.
+Words, runs of punctuation and pairs of neighbours (all repeated tokens being one pair) hash into
+``2**BUCKETS_LOG2`` buckets. One bag model is of all documents, one of target documents (labelled 1). A
+document's log importance weight is the sum over its n-grams of the log ratio of the two; beyond
+``LENGTH`` n-grams it is tempered to that many, so that a long text counts by its mean. Gumbel noise of scale
+1 is added to the log weights, and the k largest are a draw of k documents without replacement, each in
+proportion to its weight.
+
+``k`` is a parameter, as is ``fraction`` of the documents with a weight. By default k is the number of
+documents whose weight is on the target's side of the level that parts labelled texts best, each rated
+by the model of the other fold.
 
 The raw model counts every document. The target model reads at most ``sample`` labelled texts, of
 least hash of their id, and backs off to the raw model.
 
 Defined results: null and empty texts, and any without n-grams, have no weight (null) and are not
-kept; with no labelled text of either class all others are kept; equal rows fare equally.
+kept; with no labelled text of either class all others are kept by default; equal rows (same id and text) draw
+the same noise and fare equally, so that a tie at the edge may keep more than k; a null id draws by its text;
+labels that are null or of unknown documents are not learned from; columns keep their names, whatever they are.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _text as tx
@@ -28,8 +34,8 @@ from lumenframe.llm._store import stash
 
 BUCKETS_LOG2 = 18
 _PIECE = 4096
-#: Unit of the log ratio per n-gram on which the Gumbel noise acts.
-TEMPERATURE = 0.02
+#: N-grams beyond which a text's log weight grows no more, but is the mean times this.
+LENGTH = 64
 _BINS = 4096
 
 #: The pair of any token and itself.
@@ -92,7 +98,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def _rate(shared) -> Callable:
-    """Adds the mean log ratio by the whole model, and for labelled rows by the model of the other fold."""
+    """Adds the number of n-grams and the sums of log ratios by the whole model and, for labelled rows, by the model of the other fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, first, second = shared.value
@@ -109,10 +115,10 @@ def _rate(shared) -> Callable:
                     if use.any():
                         crossed[lo:hi] += np.bincount(row[use], other[bucket[use]], hi - lo)
             none = n == 0
-            n[none] = 1
             keep = [i for i, name in enumerate(batch.schema.names) if name not in ("text", "fold")]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in keep], pa.array(ratio / n, mask=none), pa.array(crossed / n, mask=none | (fold < 0))], [*[batch.schema.names[i] for i in keep], "ratio", "crossed"]
+                [*[batch.column(i) for i in keep], pa.array(n, mask=none), pa.array(ratio, mask=none), pa.array(crossed, mask=none | (fold < 0))],
+                [*[batch.schema.names[i] for i in keep], "n", "ratio", "crossed"],
             )
 
     return run
@@ -151,8 +157,24 @@ def _kth_largest(keys: DataFrame, k: int) -> float:
         low, high = row["low"], row["high"]
 
 
-def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, seed: int, carry: tuple[str, ...]) -> DataFrame:
-    """(__id, ratio, __kept and, by number, the columns in ``carry``)."""
+def gumbel_top_k(weighed: DataFrame, k: int, *id_cols: str, weight_col: str = "log_weight", seed: int = 7) -> DataFrame:
+    """Adds ``kept``: a draw of ``k`` rows without replacement in proportion to exp(``weight_col``); null weights are never drawn.
+
+    The noise of a row is a function of ``id_cols`` and ``seed``.
+    """
+    u = (F.shiftrightunsigned(F.xxhash64(*id_cols, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    keyed = weighed.withColumn("__key", F.col(weight_col) - F.log(-F.log(u)))
+    cut = _kth_largest(keyed.where("__key is not null").select(F.col("__key").alias("key")), k)
+    return keyed.withColumn("kept", F.coalesce(F.col("__key") >= F.lit(cut), F.lit(False))).drop("__key")
+
+
+def tempered(total: Column, n: Column) -> Column:
+    """Log weights of texts of ``n`` n-grams from the sums of their log ratios."""
+    return total * F.least(F.lit(1.0), F.lit(float(LENGTH)) / n)
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, seed: int, k: int | None, fraction: float | None, carry: tuple[str, ...]) -> DataFrame:
+    """(__id, log_ratio, log_weight, kept and, by number, the columns in ``carry``)."""
     spark = docs.sparkSession
     label = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good")).where("id is not null and good in (0, 1)")
     label = label.groupBy("id").agg(F.min("good").alias("good")).withColumn("fold", (F.crc32(F.col("id").cast("string")) % 3).cast("int"))
@@ -163,33 +185,41 @@ def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     tallied = known.select("text", kind.alias("kind")).mapInArrow(_tally, "kind int, piece int, counts binary")
     found = tallied.repartition("kind", "piece").mapInArrow(_added, "kind int, piece int, counts binary").toArrow()
     counts = np.zeros((3, 1 << BUCKETS_LOG2), np.int64)
-    for k, piece, raw in zip(*(c.to_pylist() for c in found.columns), strict=True):
-        counts[k, piece * _PIECE : (piece + 1) * _PIECE] += np.frombuffer(raw, np.int64)
+    for of, piece, raw in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        counts[of, piece * _PIECE : (piece + 1) * _PIECE] += np.frombuffer(raw, np.int64)
     models = spark.sparkContext.broadcast((log_ratios(counts[0], counts[1] + counts[2]), log_ratios(counts[0], counts[1]), log_ratios(counts[0], counts[2])))
     prepared = known.select("__id", *[f"__c{i}" for i in range(len(carry))], F.xxhash64("text").alias("__th"), F.coalesce("good", F.lit(-1)).alias("good"), F.coalesce("fold", F.lit(-1)).alias("fold"), "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prepared.schema if f.name not in ("text", "fold"))
-    rated = stash(prepared.mapInArrow(_rate(models), f"{schema}, ratio double, crossed double"), "quality")
-    seen = rated.where("good >= 0 and crossed is not null").select("good", "crossed").toArrow()
-    level = _level(seen["crossed"].to_numpy(), seen["good"].to_numpy()) if len(set(seen["good"].to_pylist())) == 2 else -np.inf
-    u = (F.shiftrightunsigned(F.xxhash64("__id", "__th", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    keyed = rated.withColumn("key", F.col("ratio") / TEMPERATURE - F.log(-F.log(u)))
-    weighed = keyed.where("ratio is not null")
-    k = weighed.where(F.col("ratio") >= F.lit(level)).count()
-    cut = _kth_largest(weighed.select("key"), k)
-    kept = F.coalesce(F.col("key") >= F.lit(cut), F.lit(False))
-    return keyed.select("__id", "ratio", kept.alias("__kept"), *[f"__c{i}" for i in range(len(carry))])
+    rated = prepared.mapInArrow(_rate(models), f"{schema}, n double, ratio double, crossed double")
+    rated = rated.withColumn("log_weight", tempered(F.col("ratio"), F.col("n"))).withColumn("crossed", tempered(F.col("crossed"), F.col("n")))
+    rated = stash(rated.withColumn("log_ratio", F.col("ratio") / F.col("n")).drop("ratio", "n"), "quality")
+    weighed = rated.where("log_weight is not null")
+    if k is None and fraction is not None:
+        k = round(fraction * weighed.count())
+    if k is None:
+        seen = rated.where("good >= 0 and crossed is not null").select("good", "crossed").toArrow()
+        level = _level(seen["crossed"].to_numpy(), seen["good"].to_numpy()) if len(set(seen["good"].to_pylist())) == 2 else -np.inf
+        k = weighed.where(F.col("log_weight") >= F.lit(level)).count()
+    return gumbel_top_k(rated, k, "__id", "__th", seed=seed).select("__id", "log_ratio", "log_weight", "kept", *[f"__c{i}" for i in range(len(carry))])
+
+
+_SAMPLE = 20_000
 
 
-def resample_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, seed: int = 7) -> DataFrame:
-    """Returns for each row of ``docs`` its id, ``log_ratio`` (per n-gram, target over raw) and ``kept``.
+def resample_quality(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = _SAMPLE, seed: int = 7, k: int | None = None, fraction: float | None = None
+) -> DataFrame:
+    """Returns for each row of ``docs`` its id, ``log_ratio`` (per n-gram, target over raw), ``log_weight`` and ``kept``.
 
     Labels whose crc32 of the id modulo 3 is 1 are held out.
     """
-    drawn = _drawn(docs, labels, id_col, text_col, label_col, sample, seed, ())
-    return drawn.select(F.col("__id").alias(id_col), F.col("ratio").alias("log_ratio"), F.col("__kept").alias("kept"))
+    drawn = _drawn(docs, labels, id_col, text_col, label_col, sample, seed, k, fraction, ())
+    return drawn.select(F.col("__id").alias(id_col), "log_ratio", "log_weight", "kept")
 
 
-def keep_drawn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, seed: int = 7) -> DataFrame:
+def keep_drawn(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = _SAMPLE, seed: int = 7, k: int | None = None, fraction: float | None = None
+) -> DataFrame:
     """The rows of ``docs`` that the sampling keeps, with all their columns."""
-    drawn = _drawn(docs, labels, id_col, text_col, label_col, sample, seed, tuple(docs.columns))
-    return drawn.where("__kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    drawn = _drawn(docs, labels, id_col, text_col, label_col, sample, seed, k, fraction, tuple(docs.columns))
+    return drawn.where("kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
