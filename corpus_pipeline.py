@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bagminhash, decontaminate, mixing, pii, quality
+from lumenframe.llm import bagminhash, decontaminate, mixing, pii, quality, queries
 from lumenframe.llm._store import stash
 
 
@@ -30,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by pseudonyms."""
-    out = pii.pseudonymise(docs, count_col=None)
+    out = pii.pseudonymise(docs, key=queries.pii_key(spark), count_col=None)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
