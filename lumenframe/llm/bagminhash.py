@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _text as tx
-from lumenframe.llm._store import stash
+from lumenframe.llm._store import few, stash
 
 COMPONENTS, BANDS = 128, 32
 #: Components that must agree for a pair to be verified: over five deviations below 0.8 of all.
@@ -448,12 +448,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without all but one row of each class: the one of the least id. Texts without words stay."""
-    classes = stash(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "classes")
-    kept = classes.where("class_hash is not null").groupBy("class_hash").agg(F.min(F.struct(F.col(id_col), F.col("text_hash"))).alias("k"))
-    kept = kept.select(F.col(f"k.{id_col}").alias("__k_id"), F.col("k.text_hash").alias("__k_hash"))
+    classes = stash(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "classes").where("text_hash is not null")
+    row = F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("hash"))
+    kept = classes.groupBy("class_hash").agg(F.min(row).alias("kept"))
+    gone = classes.where("class_size > 1").withColumn("row", row).join(kept, "class_hash").where("row <> kept")
+    gone = stash(gone.select(F.col("row.id").alias("__g_id"), F.col("row.hash").alias("__g_hash")).distinct(), "copies")
     marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = marked.join(few(gone), F.col(id_col).eqNullSafe(F.col("__g_id")) & (F.col("__hash") == F.col("__g_hash")), "left_anti")
+    if classes.groupBy(id_col, "text_hash").count().where("count > 1").isEmpty():
+        return out.drop("__hash")
     worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    out = marked.where(worded).join(kept, F.col(id_col).eqNullSafe(F.col("__k_id")) & (F.col("__hash") == F.col("__k_hash")), "left_semi")
-    if not classes.where("text_hash is not null").groupBy(id_col, "text_hash").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__hash"])
-    return out.unionByName(marked.where(~worded)).drop("__hash")
+    return out.where(worded).dropDuplicates([id_col, "__hash"]).unionByName(out.where(~worded)).drop("__hash")

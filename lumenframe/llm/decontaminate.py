@@ -4,8 +4,8 @@ A *window* is ``window`` consecutive words of an item (a shorter item is one win
 contains a window if it contains all of the window's shingles in order, so the necessary prefix
 of a window is a single shingle, and the rarest one gives the fewest candidates.
 
-1. A fixed-size bit set of the items' shingles is tested against every text; what passes is kept
-   as runs of words. A run holds every occurrence of every window whole.
+1. A bit set of the items' shingles, sized by their number, is tested against every text; what passes is
+   kept as runs of words. A run holds every occurrence of every window whole.
 2. The shingles of the runs are counted; each window's rarest shingle is its prefix.
 3. Runs and windows join on the prefix; positional and length bounds give the only place where
    the window can start in the run, and the words there are compared.
@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import _text as tx
-from lumenframe.llm._store import stash
+from lumenframe.llm._store import few, stash
 
-#: Two to this power is the number of bits of the shingle filter that executors hold (2 MB).
-FILTER_LOG2 = 24
+#: Two to this power is the most bits that the shingle filter has (32 MB); beyond it more runs are kept than need be.
+FILTER_LOG2 = 28
 WORD_SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _AS_SPACES = bytes(0x20 if b in WORD_SEPARATORS else b + 32 * (0x41 <= b <= 0x5A) for b in range(256))
 
@@ -36,8 +36,8 @@ def _size_salt(size: int) -> np.uint64:
     return np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
-def _shingle_bits(window: int, shingle: int) -> Callable:
-    """Positions in the filter of each item's shingles, and their sizes."""
+def _item_shingles(window: int, shingle: int) -> Callable:
+    """Hashes of the items' shingles, and their sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, fold = tx.byte_classes(WORD_SEPARATORS), tx.lower_ascii()
@@ -52,9 +52,8 @@ def _shingle_bits(window: int, shingle: int) -> Callable:
                     if n < 1 or not whole.any():
                         continue
                     use = tx.within_row(w.row, size) & whole[:n]
-                    at = ((tx.windows(w.hash, size)[use] ^ _size_salt(size)) >> np.uint64(64 - FILTER_LOG2)).astype(np.int64)
-                    at = np.unique(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int64)), pa.array(at)], ["size", "at"])
+                    found = np.unique(tx.windows(w.hash, size)[use] ^ _size_salt(size))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size, np.int64)), pa.array(found.view(np.int64))], ["size", "hash"])
 
     return run
 
@@ -64,7 +63,7 @@ def _runs(packed, sizes: list[int]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, fold = tx.byte_classes(WORD_SEPARATORS), tx.lower_ascii()
-        bits = tx.BitSet(FILTER_LOG2, packed.value)
+        bits = tx.BitSet.read(packed.value)
         for batch in batches:
             text = tx.column(batch.column("__text"))
             n_words, found = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
@@ -122,11 +121,9 @@ def decontaminate(
     spark = docs.sparkSession
     shingle = min(shingle, window)
     item = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    bits = item.select("text").mapInArrow(_shingle_bits(window, shingle), "size long, at long")
-    bits = bits.groupBy("size", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-    sizes = sorted({int(x) for x in bits["size"]})
-    both = bits.groupby("word")["bits"].agg(np.bitwise_or.reduce)
-    packed = spark.sparkContext.broadcast(tx.bitset_bytes(FILTER_LOG2, both.index.to_numpy(np.int64), both.to_numpy(np.int64)))
+    hashes = stash(item.select("text").mapInArrow(_item_shingles(window, shingle), "size long, hash long").distinct(), "decontaminate-shingles")
+    sizes = sorted(r["size"] for r in hashes.select("size").distinct().collect())
+    packed = spark.sparkContext.broadcast(tx.collect_bits(hashes, "hash", tx.bits_for(hashes.count(), FILTER_LOG2)))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
@@ -197,6 +194,6 @@ def decontaminate(
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that have a window of an item."""
     found = decontaminate(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated")
-    found = found.select(F.col(id_col).alias("__f_id"), F.col("text_hash").alias("__f_hash")).distinct()
+    found = stash(found.select(F.col(id_col).alias("__f_id"), F.col("text_hash").alias("__f_hash")).distinct(), "contaminated")
     same = F.col(id_col).eqNullSafe(F.col("__f_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__f_hash"))
-    return docs.join(found, same, "left_anti")
+    return docs.join(few(found), same, "left_anti")

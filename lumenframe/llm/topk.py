@@ -8,7 +8,8 @@ the task, then by query over all tasks.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; missing
 trailing components count as zero; all rows with the query's id are its own and never answer it;
-repeated candidate rows each answer; a query id with several vectors asks with the least of them.
+repeated candidate rows each answer; a query id with several vectors asks with the least of them; scores
+that might not fit in 64 bits are an error, never a wrong number.
 """
 
 from __future__ import annotations
@@ -72,6 +73,8 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tup
 def _search(shared, k: int) -> Callable:
     def block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         bound = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+        if bound >= 2**63 - 1:
+            raise OverflowError("inner products beyond 64 bits: choose a smaller scale")
         kind = np.int32 if bound < 2**31 - 1 else np.int64
         least = np.iinfo(kind).min
         parts = []
