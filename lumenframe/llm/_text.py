@@ -158,12 +158,12 @@ class BitSet:
         return (self.packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def bits_for(keys: int, most: int) -> int:
-    """Size (a power of two) of a filter for so many keys: 16 bits a key, up to ``most``.
+def bits_for(keys: int, most: int, least: int = 20) -> int:
+    """Size (a power of two) of a filter for so many keys: 64 bits a key or more, from ``least`` up to ``most``.
 
     A filter that is too full lets more pass, never less; the join behind it drops the rest.
     """
-    return min(most, max(16, int(np.ceil(np.log2(max(1, keys)))) + 4))
+    return min(most, max(least, int(np.ceil(np.log2(max(1, keys)))) + 6))
 
 
 def collect_bits(keys: DataFrame, name: str, log2: int) -> bytes:

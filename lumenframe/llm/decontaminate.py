@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm import _text as tx
 from lumenframe.llm._store import few, stash
 
-#: Two to this power is the most bits that the shingle filter has (32 MB); beyond it more runs are kept than need be.
-FILTER_LOG2 = 28
+#: Two to these powers are the least and the most bits that the shingle filter has (2 and 32 MB): every shingle of every
+#: text is tested, so few may pass by chance; beyond some 4 million shingles of items more runs are kept than need be.
+LEAST_LOG2, FILTER_LOG2 = 24, 28
 WORD_SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _AS_SPACES = bytes(0x20 if b in WORD_SEPARATORS else b + 32 * (0x41 <= b <= 0x5A) for b in range(256))
 
@@ -123,7 +124,7 @@ def decontaminate(
     item = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     hashes = stash(item.select("text").mapInArrow(_item_shingles(window, shingle), "size long, hash long").distinct(), "decontaminate-shingles")
     sizes = sorted(r["size"] for r in hashes.select("size").distinct().collect())
-    packed = spark.sparkContext.broadcast(tx.collect_bits(hashes, "hash", tx.bits_for(hashes.count(), FILTER_LOG2)))
+    packed = spark.sparkContext.broadcast(tx.collect_bits(hashes, "hash", tx.bits_for(64 * hashes.count(), FILTER_LOG2, LEAST_LOG2)))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
