@@ -10,12 +10,17 @@ candidate.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators import stats
+from lumenframe.operators.histograms import Histogram, histograms
 from lumenframe.operators.similarity import uniform
-from lumenframe.session import cut, small
+from lumenframe.session import BROADCAST_ROWS, cut, small
 
 # Defaults of the builder.
 MIN_ITEMS, BINS = 70, 10
@@ -35,10 +40,10 @@ def bootstrap(ids: DataFrame, trees: int, seed: str = "0") -> DataFrame:
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
     place = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
-    numbered = ranged.withColumn("place", place).join(F.broadcast(sizes), "range").select("id", (F.col("before") + F.col("place")).cast("int").alias("at"))
+    numbered = ranged.withColumn("place", place).join(F.broadcast(sizes), "range").select("id", (F.col("before") + F.col("place")).cast("long").alias("at"))
     count = ranged.count()
     draws = ids.sparkSession.range(count).crossJoin(F.broadcast(ids.sparkSession.range(trees).select(F.col("id").alias("tree"))))
-    draws = draws.select(F.col("tree").cast("int").alias("tree"), F.floor(uniform(seed, F.col("tree"), F.col("id")) * count).cast("int").alias("at"))
+    draws = draws.select(F.col("tree").cast("int").alias("tree"), F.floor(uniform(seed, F.col("tree"), F.col("id")) * count).cast("long").alias("at"))
     return draws.groupBy("tree", "at").agg(F.count(F.lit(1)).alias("n")).join(numbered, "at").select("tree", "id", "n")
 
 
@@ -59,15 +64,31 @@ def flat(members: DataFrame, samples: DataFrame, nodes: DataFrame | None = None)
 
 
 def candidates(rows: DataFrame, bins: int = BINS, how: str = "percentile") -> DataFrame:
-    """(tree, node, feature, splits): boundaries of equally full bins, exact or of a streaming histogram; distinct and sorted."""
-    if how == "percentile":
-        cuts = F.array(*[F.expr(f"percentile_disc({k / bins}) within group (order by value)") for k in range(1, bins)])
-    else:
-        bars = F.histogram_numeric("value", F.lit(4 * bins))
-        cuts = F.transform(bars, lambda b: b["x"].cast("double"))
-    out = rows.groupBy("tree", "node", "feature").agg(cuts.alias("splits"), F.max("value").alias("top"))
-    # a split at the largest value leaves the right side empty
-    return out.select("tree", "node", "feature", F.array_sort(F.array_distinct(F.filter("splits", lambda s: s < F.col("top")))).alias("splits"))
+    """(tree, node, feature, splits): boundaries of equally full bins, a row counting ``n`` times; distinct and sorted.
+
+    ``percentile`` is exact; ``histogram`` takes them of a streaming histogram, which no task needs all values of a node for.
+    """
+    by = ["tree", "node", "feature"]
+    if how == "histogram":
+        cuts = F.udf(lambda centres, counts: _boundaries(centres, counts, bins), "array<double>")
+        out = histograms(rows, by, weight="n", size=4 * bins).select(*by, cuts("centres", "counts").alias("splits"), F.col("high").alias("top"))
+        # a split at the largest value leaves the right side empty
+        return out.select(*by, F.array_sort(F.array_distinct(F.filter("splits", lambda s: s < F.col("top")))).alias("splits"))
+    counts = rows.groupBy(*by, "value").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(group)).withColumn("top", F.max("value").over(group))
+    place = lambda k: F.ceil(F.col("total") * (k / bins))
+    crossed = F.lit(False)
+    for k in range(1, bins):
+        crossed = crossed | ((F.col("upto") >= place(k)) & (F.col("upto") - F.col("n") < place(k)))
+    return ranked.where(crossed & (F.col("value") < F.col("top"))).groupBy(*by).agg(F.array_sort(F.collect_list("value")).alias("splits"))
+
+
+def _boundaries(centres: list[float], counts: list[int], bins: int) -> list[float]:
+    held = Histogram(max(len(centres), 1))
+    held.centres, held.counts = list(centres), list(counts)
+    return held.uniform(bins) or held.centres
 
 
 def label_counts(rows: DataFrame, splits: DataFrame) -> DataFrame:
@@ -160,13 +181,52 @@ def build(samples: DataFrame, features: int, *, trees: int = 1, min_items: int =
 
 
 def traverse(samples: DataFrame, forest: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, tree, vote): the label of the leaf that each sample reaches; a join per level."""
-    table = small(forest)
+    """(id, tree, vote): the label of the leaf that each sample reaches.
+
+    A forest of few nodes goes to all executors, which walk its trees for whole batches of samples; a larger
+    one is joined level by level.
+    """
+    if forest.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return _traverse_by_joins(samples, forest, max_depth)
+    nodes = {(r["tree"], r["node"]): r for r in forest.select("tree", "node", "feature", "split", "label").collect()}
+    trees = sorted({tree for tree, _ in nodes})
+    number = {key: i for i, key in enumerate(nodes)}
+    child = lambda key, k: number.get((key[0], 2 * key[1] + k), -1) if nodes[key]["label"] is None else -1
+    column = lambda name, kind: np.array([0 if r[name] is None else r[name] for r in nodes.values()], kind)
+    feature, split, label = column("feature", np.int64), column("split", float), column("label", np.int64)
+    left, right = (np.array([child(key, k) for key in nodes], np.int64) for k in (1, 2))
+    leaf = np.array([r["label"] is not None for r in nodes.values()], bool)
+    held = samples.sparkSession.sparkContext.broadcast((trees, [number[tree, 0] for tree in trees if (tree, 0) in number], feature, split, label, left, right, leaf))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, roots, feature, split, label, left, right, leaf = held.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column("features")
+            x = values.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for tree, root in zip(trees, roots, strict=True):
+                at, rows = np.full(batch.num_rows, root), np.arange(batch.num_rows)
+                for _ in range(max_depth + 1):
+                    inner = rows[(at[rows] >= 0) & ~leaf[np.maximum(at[rows], 0)]]
+                    if not len(inner):
+                        break
+                    now = at[inner]
+                    at[inner] = np.where(x[inner, feature[now]] <= split[now], left[now], right[now])
+                    rows = inner
+                done = np.flatnonzero((at >= 0) & leaf[np.maximum(at, 0)])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(done)), pa.array(np.full(len(done), tree, np.int32)), pa.array(label[at[done]].astype(np.int32))], ["id", "tree", "vote"])
+
+    kind = samples.schema["id"].dataType.simpleString()
+    return samples.select("id", F.col("features").cast("array<double>").alias("features")).mapInArrow(walk, f"id {kind}, tree int, vote int")
+
+
+def _traverse_by_joins(samples: DataFrame, forest: DataFrame, max_depth: int) -> DataFrame:
     trees = forest.select("tree").distinct()
     at = samples.select("id", "features").crossJoin(F.broadcast(trees)).withColumn("node", F.lit(0).cast("long"))
     votes = None
     for _ in range(max_depth + 1):
-        met = cut(at.join(table, ["tree", "node"]))
+        met = cut(at.join(forest, ["tree", "node"]))
         here = met.where("label is not null").select("id", "tree", F.col("label").alias("vote"))
         votes = here if votes is None else votes.unionByName(here)
         rest = met.where("label is null")
@@ -182,6 +242,11 @@ def majority_vote(votes: DataFrame) -> DataFrame:
     return counts.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "vote")).alias("b")).select("id", F.col("b.vote").alias("predicted"))
 
 
+def accuracy(samples: DataFrame, forest: DataFrame) -> DataFrame:
+    """(total, correct, accuracy) of a forest's majority votes on labelled samples."""
+    return stats.accuracy(samples.select("id", "label").join(majority_vote(traverse(samples, forest)), "id"))
+
+
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Streaming histogram of a column: rows (p, m) of centres and counts."""
     return df.agg(F.histogram_numeric(column, F.lit(bins)).alias("h")).select(F.inline("h")).select(F.col("x").cast("double").alias("p"), F.col("y").cast("double").alias("m"))

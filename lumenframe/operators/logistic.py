@@ -10,10 +10,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.numeric import classify, dot, logistic
+from lumenframe.session import cut, small
+
+
+def round_class(value: Column) -> Column:
+    """The class nearest to a linear prediction, halves upwards."""
+    return F.floor(value + 0.5).cast("int")
 
 
 def linear(features: Column, weights: Sequence[float]) -> Column:
@@ -58,6 +64,39 @@ def gradient_descent(df: DataFrame, size: int, *, iterations: int = 1, rate: flo
     return w.tolist()
 
 
+def sparse_scores(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Adds ``z``, x . w of the row's vector, to sparse rows (id, label, dim, value); dims that the model (dim, weight) lacks weigh 0."""
+    weighed = rows.join(small(model.select("dim", "weight")), "dim", "left")
+    return weighed.withColumn("z", F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))).over(Window.partitionBy("id"))).drop("weight")
+
+
+def sparse_predict(rows: DataFrame, model: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(id, label, p, predicted) of vectors that have an entry."""
+    by = sparse_scores(rows, model).groupBy("id").agg(F.first("label").alias("label"), logistic(F.first("z")).alias("p"))
+    return by.withColumn("predicted", classify(F.col("p"), threshold))
+
+
+def sparse_gradient(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """(dim, gradient): sums over sparse rows of (p - y) x. One shuffle by id, and one of a row per dim and task."""
+    error = logistic(F.col("z")) - F.col("label")
+    return sparse_scores(rows, model).groupBy("dim").agg(F.sum(error * F.col("value")).alias("gradient"))
+
+
+def sparse_descent(rows: DataFrame, *, iterations: int = 1, rate: float = 1.0, mean: bool = False, n: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """The model (dim, weight) after batch gradient descent over sparse rows, whatever the number of dims.
+
+    ``mean`` divides by ``n``, the number of vectors, those without entries among them (by default those that have some).
+    """
+    rows = cut(rows.select("id", "label", "dim", "value"))
+    model = rows.select("dim").distinct().withColumn("weight", F.lit(0.0)) if initial is None else initial
+    if mean and n is None:
+        n = rows.select("id").distinct().count()
+    for _ in range(iterations):
+        step = sparse_gradient(rows, model).select("dim", (F.col("gradient") * (-rate / n if mean else -rate)).alias("weight"))
+        model = cut(model.select("dim", "weight").unionByName(step).groupBy("dim").agg(F.sum("weight").alias("weight")))
+    return model
+
+
 def newton(df: DataFrame, size: int, *, iterations: int = 5, penalty: float = 0.0, features: str = "features", label: str = "label") -> list[float]:
     """Newton-Raphson; the penalty, over the rows, is on all but the first weight."""
     w = np.zeros(size)
@@ -104,9 +143,10 @@ def pseudo_inverse(matrix: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(np.asarray(matrix, float))
 
 
-def random_partition(df: DataFrame, parts: int, id_col: str = "id", seed: int = 0) -> DataFrame:
-    """Adds ``part``, uniform in [0, parts) and a function of the id."""
-    return df.withColumn("part", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(parts)).cast("int"))
+def random_partition(df: DataFrame, parts: int, id_col: str = "id", seed: int = 0, how: str = "hash") -> DataFrame:
+    """Adds ``part`` in [0, parts), a function of the id: uniform (``hash``), or the remainder of an integer id (``modulo``)."""
+    value = F.xxhash64(F.col(id_col), F.lit(seed)) if how == "hash" else F.col(id_col)
+    return df.withColumn("part", F.pmod(value, F.lit(parts)).cast("int"))
 
 
 # The online learner's defaults.
@@ -154,6 +194,12 @@ def vote(ps: Column, how: str = "weighted_as_coded") -> Column:
     return (votes["yes"] > votes["no"]).cast("int")
 
 
+def evaluate(df: DataFrame, ps: str = "ps", label: str = "label") -> DataFrame:
+    """(model, total, correct) of each of the models of ``ensemble_predict``."""
+    rows = df.select(F.col(label).alias("label"), F.posexplode(ps).alias("model", "p"))
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("total"), F.sum(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("long")).alias("correct"))
+
+
 def merged(models: dict[int, Sequence[float]]) -> list[float]:
     """The mean of the models' weights."""
     return np.mean([models[m] for m in sorted(models)], axis=0).tolist()

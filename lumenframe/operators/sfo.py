@@ -42,13 +42,20 @@ def coefficients(train: DataFrame, *, iterations: int = 5, tolerance: float = 1e
     return beta.select("dim", F.col("beta").alias("coefficient"))
 
 
-def gains(test: DataFrame, coefs: DataFrame) -> DataFrame:
-    """(dim, gain, coefficient) over test records (of ``records``); features with coefficient 0 have none."""
+def gains(test: DataFrame, coefs: DataFrame, metric: str = "log_likelihood", n: int | None = None) -> DataFrame:
+    """(dim, gain, coefficient) over test records (of ``records``); features with coefficient 0 have none.
+
+    The gain is that of the log-likelihood, or the drop in the mean deviation |y - p| over ``n`` test rows.
+    """
     rows = test.join(small(coefs.where("coefficient <> 0")), "dim")
-    before = log_likelihood(F.col("y"), logistic(F.col("z") + INTERCEPT))
-    after = log_likelihood(F.col("y"), logistic(F.col("z") + F.col("x") * F.col("coefficient") + INTERCEPT))
-    sums = rows.groupBy("dim").agg(F.sum(after - before).alias("gain"))
-    return sums.join(coefs, "dim").select("dim", "gain", "coefficient")
+    p_before, p_after = logistic(F.col("z") + INTERCEPT), logistic(F.col("z") + F.col("x") * F.col("coefficient") + INTERCEPT)
+    if metric == "mean_deviation":
+        if n is None:
+            raise ValueError("the mean deviation needs the number of test rows")
+        gain = F.sum(F.abs(F.col("y") - p_before) - F.abs(F.col("y") - p_after)) / n
+    else:
+        gain = F.sum(log_likelihood(F.col("y"), p_after) - log_likelihood(F.col("y"), p_before))
+    return rows.groupBy("dim").agg(gain.alias("gain")).join(coefs, "dim").select("dim", "gain", "coefficient")
 
 
 def best(found: DataFrame, k: int = 1) -> DataFrame:
@@ -60,7 +67,8 @@ def forward_selection(train: DataFrame, test: DataFrame, model: DataFrame, *, st
     model = model.withColumn("step", F.lit(0))
     for step in range(1, steps + 1):
         now = model.select("dim", "weight")
-        found = gains(records(test, now), coefficients(records(train, now), iterations=iterations))
+        rows = cut(records(train, now))
+        found = gains(rows if test is train else records(test, now), coefficients(rows, iterations=iterations))
         model = cut(model.unionByName(best(found, per_step).select("dim", F.col("coefficient").alias("weight"), F.lit(step).alias("step"))))
     return model
 

@@ -35,10 +35,15 @@ MEASURES = {
 }
 
 
-def dedupe(ratings: DataFrame, how: str = "sum") -> DataFrame:
-    """One rating per user and item; zeros vanish, as absent entries are zeros."""
-    merge = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    return ratings.groupBy("user", "item").agg(merge("rating").alias("rating")).where("rating <> 0")
+def dedupe(ratings: DataFrame, how: str = "sum", order: str | None = None) -> DataFrame:
+    """One rating per user and item; zeros vanish, as absent entries are zeros. ``last`` takes that of the largest ``order``."""
+    if how == "last":
+        if order is None:
+            raise ValueError("the last rating needs an order")
+        merged = F.max_by("rating", order)
+    else:
+        merged = {"sum": F.sum, "max": F.max, "min": F.min}[how]("rating")
+    return ratings.groupBy("user", "item").agg(merged.alias("rating")).where("rating <> 0")
 
 
 def item_stats(ratings: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from lumenframe.functions import numeric, strings
 from lumenframe.operators import clustering, forest, logistic, sfo, similarity, stats
 from lumenframe.plans import datasets as data
 from lumenframe.plans import sql as S
-from lumenframe.session import table
+from lumenframe.session import cut, table
 from lumenframe.sources import text as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from lumenframe.plans import catalog_more  # noqa: F401  (registers its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -147,9 +150,8 @@ def csv_select_bias(spark, sf_dir):
 )
 def flatten_to_vector(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(F.create_map(F.lit(2), F.col("s_nationkey").cast("double"), F.lit(3), F.col("s_acctbal"))).alias("dim", "value"))
-    held = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
-    dense = held.select("id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("v"))
-    return dense.select("id", F.size("v").alias("size"), F.col("v")[2].alias("third"), F.col("v")[3].alias("fourth"))
+    v = F.col("vector")
+    return sources.flatten(rows, 5).select("id", F.size(v).alias("size"), v[2].alias("third"), v[3].alias("fourth"))
 
 
 # statistics
@@ -314,32 +316,35 @@ _ROUNDS = 3
 
 
 def _sfo(spark, sf_dir):
-    rows = data.token_rows(spark, sf_dir)
-    return rows, data.base_model(spark)
+    return cut(data.token_rows(spark, sf_dir)), data.base_model(spark)
+
+
+def _records(spark, sf_dir):
+    return cut(sfo.records(*_sfo(spark, sf_dir)))
 
 
 @query("sfo_train_records", f"WITH {S.TOKENS}, {S.sfo_step(0, 1)} SELECT dim, count(*) AS n, sum(y) AS positives, {S.r('sum(x)', 4)} AS x, {S.r('sum(z)', 4)} AS z FROM rec0 GROUP BY dim")
 def sfo_train_records(spark, sf_dir):
-    rows = sfo.records(*_sfo(spark, sf_dir))
+    rows = _records(spark, sf_dir)
     return rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"), rounded(F.sum("x"), 4).alias("x"), rounded(F.sum("z"), 4).alias("z"))
 
 
 @query("sfo_coefficients", f"WITH {S.TOKENS}, {S.sfo_step(0, _ROUNDS)} SELECT dim, {S.r('beta', 4)} AS coefficient FROM b0_{_ROUNDS}")
 def sfo_coefficients(spark, sf_dir):
-    found = sfo.coefficients(sfo.records(*_sfo(spark, sf_dir)), iterations=_ROUNDS)
+    found = sfo.coefficients(_records(spark, sf_dir), iterations=_ROUNDS)
     return found.select("dim", rounded("coefficient", 4).alias("coefficient"))
 
 
 @query("sfo_gains", f"WITH {S.TOKENS}, {S.sfo_step(0, _ROUNDS)} SELECT dim, {S.r('gain', 4)} AS gain, {S.r('coefficient', 4)} AS coefficient FROM gain0")
 def sfo_gains(spark, sf_dir):
-    rows = sfo.records(*_sfo(spark, sf_dir))
+    rows = _records(spark, sf_dir)
     found = sfo.gains(rows, sfo.coefficients(rows, iterations=_ROUNDS))
     return found.select("dim", rounded("gain", 4).alias("gain"), rounded("coefficient", 4).alias("coefficient"))
 
 
 @query("sfo_top_features", f"WITH {S.TOKENS}, {S.sfo_step(0, _ROUNDS)} SELECT dim, {S.r('gain', 4)} AS gain FROM gain0 ORDER BY gain DESC, dim LIMIT 10")
 def sfo_top_features(spark, sf_dir):
-    rows = sfo.records(*_sfo(spark, sf_dir))
+    rows = _records(spark, sf_dir)
     return sfo.best(sfo.gains(rows, sfo.coefficients(rows, iterations=_ROUNDS)), 10).select("dim", rounded("gain", 4).alias("gain"))
 
 
@@ -357,7 +362,7 @@ def sfo_forward_2(spark, sf_dir):
 
 @query("ensemble_partition", "SELECT CAST(vec_id % 4 AS INTEGER) AS part, count(*) AS n FROM embeddings GROUP BY 1")
 def ensemble_partition(spark, sf_dir):
-    return data.vectors(spark, sf_dir).select(F.pmod("id", F.lit(4)).cast("int").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return logistic.random_partition(data.vectors(spark, sf_dir), 4, how="modulo").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _trained(spark, sf_dir):
@@ -398,8 +403,7 @@ def ensemble_vote(spark, sf_dir):
     f"WITH {S.ENSEMBLE} " + " UNION ALL ".join(f"SELECT {m} AS model, count(*) AS total, count(*) FILTER ((p{m} >= 0.5) = (label = 1)) AS correct FROM ps" for m in data.models()),
 )
 def ensemble_eval(spark, sf_dir):
-    rows = _votes(spark, sf_dir).select("label", F.posexplode("ps").alias("model", "p"))
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("total"), F.sum(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("long")).alias("correct"))
+    return logistic.evaluate(_votes(spark, sf_dir))
 
 
 @query(

@@ -7,6 +7,10 @@ Every parser takes a DataFrame with a column of lines and returns named, typed c
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +75,14 @@ def label_by_id(vectors: DataFrame, positive: DataFrame) -> DataFrame:
     return vectors.join(positive.select("id", F.lit(1).alias("label")), "id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
+def flatten(rows: DataFrame, num_features: int, by: str = "id") -> DataFrame:
+    """(``by``, vector): the dense vector of the (dim, value) rows of each key; absent dims are 0."""
+    if num_features is None or num_features < 1:
+        raise ValueError("num_features must be given")
+    held = rows.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("dim", F.col("value").cast("double")))).alias("m"))
+    return held.select(by, F.transform(F.sequence(F.lit(0), F.lit(num_features - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("vector"))
+
+
 def select_matrix(table: DataFrame, predictors: list[str], target: str | None = None, bias: bool = False) -> DataFrame:
     """Numeric columns in the requested order, a bias column of ones first, the target last; unknown names are an error."""
     missing = [c for c in [*predictors, *([target] if target else [])] if c not in table.columns]
@@ -107,18 +119,34 @@ def scale_labelled(samples: DataFrame, divisor: float, keep_labels: list[int] |
 
 
 def read_idx_images(spark: SparkSession, images: str, labels: str, divisor: float = 256.0) -> DataFrame:
-    """Samples (id, label, features) from a pair of idx files of images and labels."""
-
-    def content(path: str, head: int) -> DataFrame:
-        return spark.read.format("binaryFile").load(path).select(F.hex("content").alias("h")).select("h", F.lit(2 * head).alias("head"))
-
-    byte = lambda at: F.conv(F.substring("h", at, F.lit(2)), 16, 10).cast("int")
-    number = lambda at: F.conv(F.substring("h", F.lit(2 * at + 1), F.lit(8)), 16, 10).cast("int")
-    pixels = content(images, 16).select("h", number(4).alias("n"), (number(8) * number(12)).alias("size"))
-    pixels = pixels.select("h", "size", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("id"))
-    pixels = pixels.select("id", F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: byte((k + F.col("id") * F.col("size") + 16) * 2 + 1) / divisor).alias("features"))
-    names = content(labels, 8).select("h", F.explode(F.sequence(F.lit(0), number(4) - 1)).alias("id")).select("id", byte((F.col("id") + 8) * 2 + 1).alias("label"))
-    return pixels.join(names, "id").select(F.col("id").cast("long").alias("id"), "label", "features")
+    """Samples (id, label, features) from a pair of idx files (up to 2 GB each) of images and labels.
+
+    A file is read by one task, which cuts it into records batch by batch; no row carries more than its own.
+    """
+
+    def cut(head: int, record: Callable[[bytes], int], divide: float | None) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column(0):
+                    raw = np.frombuffer(content.as_buffer(), np.uint8)
+                    n, size = int.from_bytes(raw[4:8].tobytes(), "big"), record(raw[:head].tobytes())
+                    rows = raw[head : head + n * size].reshape(n, size)
+                    for lo in range(0, n, 1024):
+                        some = rows[lo : lo + 1024]
+                        ids = pa.array(np.arange(lo, lo + len(some)))
+                        if divide is None:
+                            yield pa.RecordBatch.from_arrays([ids, pa.array(some[:, 0].astype(np.int32))], ["id", "label"])
+                        else:
+                            flat = pa.array(some.reshape(-1) / divide)
+                            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * size + 1, size, dtype=np.int32)), flat)], ["id", "features"])
+
+        return run
+
+    pixels = lambda head: int.from_bytes(head[8:12], "big") * int.from_bytes(head[12:16], "big")
+    content = lambda path: spark.read.format("binaryFile").load(path).select("content")
+    points = content(images).mapInArrow(cut(16, pixels, divisor), "id long, features array<double>")
+    names = content(labels).mapInArrow(cut(8, lambda _: 1, None), "id long, label int")
+    return points.join(names, "id").select("id", "label", "features")
 
 
 def weight_vector(spark: SparkSession, num_features: int, initial: float = 0.0) -> DataFrame:
