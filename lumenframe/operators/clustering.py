@@ -10,13 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions.numeric import distance, dot
 
 Centres = list[tuple[int, list[float]]]
 
+# The codes by which searchers of nearest centres are chosen.
+SEARCHERS = ("brute", "projection", "fast_projection", "lsh")
+#: Beyond so many centres, batches are multiplied with them.
+MANY = 32
+
 
 def collect_centres(centres: DataFrame, id_col: str = "cid", vector: str = "point") -> Centres:
     return sorted((r[0], list(r[1])) for r in centres.select(F.col(id_col).cast("int"), F.col(vector).cast("array<double>")).collect())
@@ -26,17 +33,58 @@ def _literal(v: list[float]) -> Column:
     return F.array(*map(F.lit, map(float, v)))
 
 
-def assign(points: DataFrame, centres: Centres, metric: str = "squared_euclidean", point: str = "point", **options) -> DataFrame:
-    """Adds ``cid`` and ``dist`` of the nearest centre, ties to the smaller id."""
-    if metric == "squared_euclidean":
-        # |x - c|^2 = |x|^2 - 2 x.c + |c|^2 would lose digits; the difference is taken as it stands
-        each = [F.struct(distance(metric, F.col(point), _literal(c)).alias("dist"), F.lit(cid).alias("cid")) for cid, c in centres]
-    else:
-        each = [F.struct(distance(metric, F.col(point), _literal(c), **options).alias("dist"), F.lit(cid).alias("cid")) for cid, c in centres]
+def assign(points: DataFrame, centres: Centres, metric: str = "squared_euclidean", point: str = "point", searcher: str | int = "brute", **options) -> DataFrame:
+    """Adds ``cid`` and ``dist`` of the nearest centre, ties to the smaller id.
+
+    A few centres are an expression each, many are searched by a matrix product a batch. All ``SEARCHERS``
+    (by name or place) give the exact answer, which the approximate ones of that name only come near.
+    """
+    if searcher not in SEARCHERS and searcher not in range(len(SEARCHERS)):
+        raise ValueError(f"unknown searcher: {searcher}")
+    if len(centres) > MANY and metric in ("squared_euclidean", "euclidean"):
+        return _assign_batches(points, centres, metric, point)
+    # |x - c|^2 = |x|^2 - 2 x.c + |c|^2 would lose digits; the difference is taken as it stands
+    each = [F.struct(distance(metric, F.col(point), _literal(c), **options).alias("dist"), F.lit(cid).alias("cid")) for cid, c in centres]
     best = F.array_min(F.array(*each))
     return points.withColumn("__best", best).withColumn("cid", F.col("__best.cid")).withColumn("dist", F.col("__best.dist")).drop("__best")
 
 
+def _assign_batches(points: DataFrame, centres: Centres, metric: str, point: str) -> DataFrame:
+    """``assign`` for many centres: products name the centres that may be nearest, and differences decide among them."""
+    held = points.sparkSession.sparkContext.broadcast((np.array([cid for cid, _ in centres], np.int32), np.array([c for _, c in centres], float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = held.value
+        squares = (c * c).sum(1)
+        for batch in batches:
+            cid, dist = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, np.nan)
+            values = batch.column("__x")
+            ok = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+            x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(ok), -1) if len(ok) else np.zeros((0, c.shape[1]))
+            for lo in range(0, len(ok), 512):
+                rows = x[lo : lo + 512]
+                size = (rows * rows).sum(1)
+                rough = size[:, None] - 2 * rows @ c.T + squares
+                # far more than the products' rounding
+                slack = 1e-9 * (size + squares.max())
+                at, which = np.nonzero(rough <= (rough.min(1) + slack)[:, None])
+                if not len(at):
+                    continue
+                exact = ((rows[at] - c[which]) ** 2).sum(1)
+                order = np.lexsort((ids[which], exact, at))
+                first = order[np.r_[True, at[order][1:] != at[order][:-1]]]
+                cid[ok[lo + at[first]]], dist[ok[lo + at[first]]] = ids[which[first]], exact[first]
+            if metric == "euclidean":
+                dist = np.sqrt(dist)
+            none = np.isnan(dist)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(cid, mask=none), pa.array(dist, mask=none)], [*names, "cid", "dist"])
+
+    kept = points.drop("cid", "dist")
+    names = kept.columns
+    schema = T.StructType([*kept.schema.fields, T.StructField("cid", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+    return kept.withColumn("__x", F.col(point).cast("array<double>")).mapInArrow(run, schema)
+
+
 def update(assigned: DataFrame, dims: int, point: str = "point", weight: Column | None = None) -> DataFrame:
     """(cid, weight, point): weighted means of the points of each centre."""
     w = F.lit(1.0) if weight is None else weight
@@ -156,20 +204,32 @@ def _ball(x: np.ndarray, w: np.ndarray, k: int, iterations: int, trim: float, pl
     return c
 
 
-def ball_kmeans(sketch: DataFrame, k: int = 5, *, iterations: int = 10, trim: float = 0.9, runs: int = 10, plus_plus: bool = False, seed: int = 0) -> DataFrame:
+def ball_kmeans(sketch: DataFrame, k: int = 5, *, iterations: int = 10, trim: float = 0.9, runs: int = 10, plus_plus: bool = False, seed: int = 0, test_share: float = 0.0, correct_weights: bool = True) -> DataFrame:
     """(cid, weight, point): the best of ``runs`` restarts on a sketch (weight, point), by weighted cost.
 
-    A sketch has a few centres per partition; sketch a large one again first.
+    With a ``test_share`` the centres are those of the other sketch points and the cost is that of the held-out
+    ones, whose weights are added to their nearest centres' if ``correct_weights``. A sketch has a few centres
+    per partition; sketch a large one again first.
     """
+    if not 0 <= test_share < 1:
+        raise ValueError("test_share is a share of the points, less than all")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["part", "weight"])
         x, w = np.array(rows["point"].tolist(), float), rows["weight"].to_numpy(float)
         rng = np.random.default_rng(seed)
-        tried = [_ball(x, w, k, iterations, trim, plus_plus, rng) for _ in range(runs)]
-        c = min(tried, key=lambda c: float((w * _distances(x, c).min(1)).sum()))
-        near = _distances(x, c).argmin(1)
-        return pd.DataFrame({"cid": np.arange(len(c), dtype=np.int32), "weight": np.bincount(near, w, len(c)), "point": list(c)})
+        held = np.zeros(len(x), bool)
+        if test_share:
+            n = int(test_share * len(x))
+            if not 0 < n < len(x):
+                raise ValueError(f"{test_share} of {len(x)} points leaves none to learn from or to test on")
+            held[rng.permutation(len(x))[:n]] = True
+        tried = [_ball(x[~held], w[~held], k, iterations, trim, plus_plus, rng) for _ in range(runs)]
+        judge = held if test_share else ~held
+        c = min(tried, key=lambda c: float((w[judge] * _distances(x[judge], c).min(1)).sum()))
+        counted = np.ones(len(x), bool) if correct_weights else ~held
+        near = _distances(x[counted], c).argmin(1)
+        return pd.DataFrame({"cid": np.arange(len(c), dtype=np.int32), "weight": np.bincount(near, w[counted], len(c)), "point": list(c)})
 
     rows = sketch.select("part", "weight", "point").withColumn("one", F.lit(1))
     return rows.groupBy("one").applyInPandas(run, "cid int, weight double, point array<double>")

@@ -24,6 +24,8 @@ from lumenframe.session import BROADCAST_ROWS, cut, small
 
 # Defaults of the builder.
 MIN_ITEMS, BINS = 70, 10
+#: Builders by name, and where their split candidates come from; the plan by levels is the same.
+STRATEGIES = {"big_reducer": "percentile", "streaming": "histogram"}
 #: Node numbers double with depth; this many levels fit in 63 bits.
 MAX_DEPTH = 60
 
@@ -157,8 +159,13 @@ def grow_level(samples: DataFrame, members: DataFrame, nodes: DataFrame, *, min_
     return done, cut(moved.select("tree", child.alias("node"), "id", "n"))
 
 
-def build(samples: DataFrame, features: int, *, trees: int = 1, min_items: int = MIN_ITEMS, bins: int = BINS, max_depth: int = 20, seed: str = "0", mode: str = "paper", how: str = "percentile", reuse_features: bool = False) -> DataFrame:
-    """A forest (tree, node, feature, split, label); inner nodes have a split, leaves a label."""
+def build(samples: DataFrame, features: int, *, trees: int = 1, min_items: int = MIN_ITEMS, bins: int = BINS, max_depth: int = 20, seed: str = "0", mode: str = "paper", how: str = "percentile", strategy: str | None = None, reuse_features: bool = False) -> DataFrame:
+    """A forest (tree, node, feature, split, label); inner nodes have a split, leaves a label.
+
+    ``strategy`` chooses ``how`` by a builder's name (``STRATEGIES``).
+    """
+    if strategy is not None:
+        how = STRATEGIES[strategy]
     if max_depth > MAX_DEPTH:
         raise ValueError(f"max_depth is at most {MAX_DEPTH}")
     spark = samples.sparkSession

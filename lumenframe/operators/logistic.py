@@ -1,21 +1,27 @@
 """Logistic and linear regression over arrays of features (array<double>, bias first if any).
 
 A step is one aggregation over the data: sums of a fixed number of columns, which need no shuffle
-but that of one row per task. Models are of feature count and stay on the driver.
+but that of one row per task. Beyond ``WIDE`` features the sums are matrix products of batches, since an
+expression per cell would be a plan of thousands. Models are of feature count and stay on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.numeric import classify, dot, logistic
 from lumenframe.session import cut, small
 
+#: Beyond so many features sums are taken by matrix products.
+WIDE = 48
+
 
 def round_class(value: Column) -> Column:
     """The class nearest to a linear prediction, halves upwards."""
@@ -37,9 +43,34 @@ def predict(df: DataFrame, weights: Sequence[float], features: str = "features",
     return df.withColumn("p", logistic(linear(F.col(features), weights) + intercept)).withColumn("predicted", classify(F.col("p"), threshold))
 
 
+def _wide(rows: DataFrame, size: int, second: bool) -> DataFrame:
+    """(i, sums, n): each task's sums of v x (i is 0), or of v x_i x for each i, over rows (v, x), and their number.
+
+    Rows whose v or x is null count but add nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((size, size) if second else (1, size)), 0
+        for batch in batches:
+            n += batch.num_rows
+            held = batch.filter(pc.and_(batch.column("v").is_valid(), batch.column("x").is_valid()))
+            if not held.num_rows:
+                continue
+            v = held.column("v").to_numpy(zero_copy_only=False)
+            x = held.column("x").flatten().to_numpy(zero_copy_only=False).reshape(held.num_rows, -1)[:, :size]
+            total += x.T @ (x * v[:, None]) if second else (v @ x)[None]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total)), pa.array(np.full(len(total), n))], ["i", "sums", "n"])
+
+    return rows.select(F.col("v").cast("double"), F.col("x").cast("array<double>")).mapInArrow(run, "i int, sums array<double>, n long")
+
+
 def gradient(df: DataFrame, weights: Sequence[float], features: str = "features", label: str = "label") -> DataFrame:
     """(dim, gradient): sum over rows of (p - y) x, with ``n`` rows."""
     error = logistic(linear(F.col(features), weights)) - F.col(label)
+    if len(weights) > WIDE:
+        sums = _wide(df.select(error.alias("v"), F.col(features).alias("x")), len(weights), False)
+        by = sums.select("n", F.posexplode("sums").alias("dim", "part")).groupBy("dim")
+        return by.agg(F.sum("part").alias("gradient"), F.sum("n").alias("n"))
     rows = df.select(error.alias("e"), F.col(features).alias("x"))
     sums = rows.agg(F.array(*[F.struct(F.lit(d).alias("dim"), F.sum(F.col("e") * F.col("x")[d]).alias("gradient"), F.count(F.lit(1)).alias("n")) for d in range(len(weights))]).alias("g"))
     return sums.select(F.inline("g"))
@@ -49,6 +80,9 @@ def hessian(df: DataFrame, weights: Sequence[float], features: str = "features")
     """(i, j, value): sum over rows of x_i x_j p (1 - p), for i <= j."""
     p = logistic(linear(F.col(features), weights))
     rows = df.select((p * (1 - p)).alias("v"), F.col(features).alias("x"))
+    if len(weights) > WIDE:
+        parts = _wide(rows, len(weights), True).select("i", F.posexplode("sums").alias("j", "part")).where("i <= j")
+        return parts.groupBy("i", "j").agg(F.sum("part").alias("value"))
     cells = [(i, j) for i in range(len(weights)) for j in range(i, len(weights))]
     sums = rows.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(F.col("x")[i] * F.col("x")[j] * F.col("v")).alias("value")) for i, j in cells]).alias("h"))
     return sums.select(F.inline("h"))

@@ -11,6 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.session import small
+
+#: Ratings of a user that one task pairs with all the others of the user.
+HEAVY = 2_000
+
 
 @dataclass(frozen=True)
 class Measure:
@@ -80,10 +85,21 @@ def scaled(ratings: DataFrame, scale: str) -> DataFrame:
 
 
 def cooccurrence(ratings: DataFrame) -> DataFrame:
-    """(i, j, dot, n_both) of items i < j rated by the same users."""
+    """(i, j, dot, n_both) of items i < j rated by the same users.
+
+    A user of more than ``HEAVY`` ratings is dealt over tasks: the first items of its pairs in blocks by
+    their hash, each of which meets all its second items.
+    """
     a = ratings.select("user", F.col("item").alias("i"), F.col("rating").alias("ri"))
     b = ratings.select("user", F.col("item").alias("j"), F.col("rating").alias("rj"))
-    pairs = a.join(b, "user").where("i < j")
+    heavy = ratings.groupBy("user").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("blocks")).where("blocks > 1")
+    if heavy.isEmpty():
+        pairs = a.join(b, "user").where("i < j")
+    else:
+        heavy, blocks = small(heavy), F.coalesce("blocks", F.lit(1))
+        a = a.join(heavy, "user", "left").withColumn("block", F.pmod(F.xxhash64("i"), blocks).cast("int")).drop("blocks")
+        b = b.join(heavy, "user", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+        pairs = a.join(b, ["user", "block"]).where("i < j")
     return pairs.groupBy("i", "j").agg(F.sum(F.col("ri") * F.col("rj")).alias("dot"), F.count(F.lit(1)).alias("n_both"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.session import cut
+
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, mean, low, high, span) of numeric columns, in one pass."""
@@ -39,11 +41,10 @@ def mean_deviation(df: DataFrame, label: str = "label", p: str = "p") -> DataFra
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
-    """Area under the ROC curve. Rows are counted per score first; scores are ranked in ranges, so that no task sorts them all."""
+    """Area under the ROC curve. Rows are counted per score first; scores are ranked in sampled ranges, so that no task sorts them all, however they lie."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     by = by.withColumn("neg", F.col("n") - F.col("pos"))
-    # scores lie in [0, 1]: a bucket of the score orders ranges
-    by = by.withColumn("range", F.floor(F.col("s") * 1024).cast("int"))
+    by = cut(by.repartitionByRange("s").withColumn("range", F.spark_partition_id()))
     sums = by.groupBy("range").agg(F.sum("neg").alias("range_neg"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("below_range", F.coalesce(F.sum("range_neg").over(before), F.lit(0)))

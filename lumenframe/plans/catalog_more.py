@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenframe.functions import numeric
-from lumenframe.operators import clustering, forest, logistic, sfo, similarity, stats
+from lumenframe.operators import clustering, forest, logistic, models, sfo, similarity, stats
 from lumenframe.operators.histograms import histograms
 from lumenframe.plans import catalog as base
 from lumenframe.plans import datasets as data
@@ -332,3 +332,56 @@ def ensemble_train_repeats(spark, sf_dir):
 @query("confusion_total", "SELECT count(*) AS n FROM lineitem")
 def confusion_total(spark, sf_dir):
     return stats.confusion(base._scored(spark, sf_dir)).select((F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("n"))
+
+
+# many centres, many features
+
+_MANY = "c0 AS (SELECT CAST(vec_id AS INTEGER) AS cid, CAST(embedding AS DOUBLE[]) AS c FROM embeddings ORDER BY vec_id LIMIT 40)"
+
+
+def _many(spark, sf_dir):
+    points = data.vectors(spark, sf_dir)
+    return points, clustering.collect_centres(points.orderBy("id").limit(40), "id")
+
+
+@query(
+    "kmeans_assign_many",
+    f"""WITH points AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), {_MANY},
+    near AS (SELECT id, cid, {_D.replace('x[i] - c[i]', '(x[i] - c[i]) * (x[i] - c[i])')} AS l FROM points, c0),
+    best AS (SELECT id, min(struct_pack(d := list_sum(l), c := cid)) AS b FROM near GROUP BY id) SELECT id, b.c AS cid, {S.r('b.d')} AS dist FROM best""",
+)
+def kmeans_assign_many(spark, sf_dir):
+    return clustering.assign(*_many(spark, sf_dir)).select("id", "cid", rounded("dist").alias("dist"))
+
+
+_WIDE_W = "list_transform(range(1, 65), lambda d: ((d - 1) * 7 % 11 - 5) / CAST(10 AS DOUBLE))"
+_WIDE_P = f"""WITH pts AS (SELECT CASE WHEN label = 1 THEN 1 ELSE 0 END AS y, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ps AS (SELECT *, 1.0 / (1.0 + exp(-list_dot_product(x, {_WIDE_W}))) AS p FROM pts)"""
+
+
+def _wide(spark, sf_dir):
+    return data.vectors(spark, sf_dir).withColumnRenamed("point", "features"), data.models()[0]
+
+
+@query("logreg_gradient_wide", f"{_WIDE_P}, e AS (SELECT p - y AS e, unnest(x) AS v, unnest(range(0, 64)) AS dim FROM ps) SELECT CAST(dim AS INTEGER) AS dim, {S.r('sum(e * v)', 5)} AS gradient, count(*) AS n FROM e GROUP BY dim")
+def logreg_gradient_wide(spark, sf_dir):
+    return logistic.gradient(*_wide(spark, sf_dir)).select("dim", rounded("gradient", 5).alias("gradient"), "n")
+
+
+@query(
+    "logreg_hessian_wide",
+    f"{_WIDE_P}, a AS (SELECT x, p * (1 - p) AS v, unnest(x) AS xi, unnest(range(0, 64)) AS i FROM ps), b AS (SELECT i, v * xi AS vi, unnest(x) AS xj, unnest(range(0, 64)) AS j FROM a) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {S.r('sum(vi * xj)', 5)} AS value FROM b WHERE i <= j GROUP BY ALL",
+)
+def logreg_hessian_wide(spark, sf_dir):
+    return logistic.hessian(*_wide(spark, sf_dir)).select("i", "j", rounded("value", 5).alias("value"))
+
+
+@query(
+    "model_protocol",
+    f"""WITH {S.ENSEMBLE} SELECT id, {S.r('(' + ' + '.join(f'p{m}' for m in data.models()) + ') / 3')} AS mean, CAST(floor(p0 + 0.7) AS INTEGER) AS one,
+    CASE WHEN {' + '.join(f'CAST(p{m} >= 0.5 AS INTEGER)' for m in data.models())} >= 2 THEN 1 ELSE 0 END AS voted FROM ps""",
+)
+def model_protocol(spark, sf_dir):
+    single = [models.Logistic(w, 0.7) for w in data.models().values()]
+    both, x = models.Ensemble(single), F.col("point")
+    return data.vectors(spark, sf_dir).select("id", rounded(both.predict(x)).alias("mean"), single[0].classify(x).alias("one"), both.classify(x).alias("voted"))

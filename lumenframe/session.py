@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, by a reliable checkpoint in the folder of ``spark.checkpoint.dir``."""
+    """``df`` without its lineage, by a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of our own in local mode (tests), else an error.
+    """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lumenframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)

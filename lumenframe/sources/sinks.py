@@ -37,6 +37,29 @@ def read_gains(spark: SparkSession, path: str) -> DataFrame:
     return rows.orderBy(F.desc("gain"), "dim")
 
 
+def forest_text(forest: DataFrame) -> DataFrame:
+    """``tree node feature split label`` lines; what a node lacks is ``-``."""
+    field = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    return forest.select(F.concat_ws(" ", *map(field, ("tree", "node", "feature", "split", "label"))).alias("value"))
+
+
+def read_forest(spark: SparkSession, path: str) -> DataFrame:
+    """The forest of ``forest_text`` lines of a file or directory."""
+    part = F.split("value", " ")
+    kinds = {"tree": "int", "node": "long", "feature": "int", "split": "double", "label": "int"}
+    return spark.read.text(path).select(*[F.nullif(part[i], F.lit("-")).cast(kind).alias(name) for i, (name, kind) in enumerate(kinds.items())])
+
+
+def model_text(model: DataFrame) -> DataFrame:
+    """``dim weight`` lines of a model."""
+    return model.select(F.concat_ws(" ", F.col("dim").cast("string"), F.col("weight").cast("string")).alias("value"))
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    part = F.split("value", " ")
+    return spark.read.text(path).select(part[0].cast("int").alias("dim"), part[1].cast("double").alias("weight"))
+
+
 def encode_model(model: DataFrame) -> str:
     """A model-sized table as text that fits a command line."""
     return base64.b64encode(json.dumps([model.dtypes, [list(r) for r in model.collect()]]).encode()).decode()
