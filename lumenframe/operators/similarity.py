@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.session import small
+from lumenframe.session import cut, small
 
 #: Ratings of a user that one task pairs with all the others of the user.
 HEAVY = 2_000
@@ -90,9 +90,15 @@ def cooccurrence(ratings: DataFrame) -> DataFrame:
     A user of more than ``HEAVY`` ratings is dealt over tasks: the first items of its pairs in blocks by
     their hash, each of which meets all its second items.
     """
+    ratings = cut(ratings.select("user", "item", "rating"))
+    return _pairs(ratings, ratings)
+
+
+def _pairs(ratings: DataFrame, counted: DataFrame) -> DataFrame:
+    """``cooccurrence`` of ratings whose users' numbers are those of ``counted``, a stored table."""
     a = ratings.select("user", F.col("item").alias("i"), F.col("rating").alias("ri"))
     b = ratings.select("user", F.col("item").alias("j"), F.col("rating").alias("rj"))
-    heavy = ratings.groupBy("user").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("blocks")).where("blocks > 1")
+    heavy = counted.groupBy("user").agg(F.ceil(F.count(F.lit(1)) / HEAVY).cast("int").alias("blocks")).where("blocks > 1")
     if heavy.isEmpty():
         pairs = a.join(b, "user").where("i < j")
     else:
@@ -142,9 +148,11 @@ def similarities(ratings: DataFrame, measure: str = "euclidean", *, threshold: f
     if measure not in MEASURES:
         raise ValueError(f"unknown measure: {measure}")
     how = MEASURES[measure]
+    # far smaller than its pairs, and read for counts, statistics and both sides
+    ratings = cut(ratings.select("user", "item", "rating"))
     stats = item_stats(ratings)
     values = ratings if as_coded else scaled(ratings, how.scale)
-    pairs = cooccurrence(values)
+    pairs = _pairs(values, ratings)
     if min_both > 1:
         pairs = pairs.where(F.col("n_both") >= min_both)
     for end in ("i", "j"):
