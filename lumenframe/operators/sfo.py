@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.numeric import log_likelihood, logistic
-from lumenframe.session import cut, small
+from lumenframe.session import cut, small, store
 
 #: Added to x . w where gains are computed.
 INTERCEPT = 1.0
@@ -67,7 +67,7 @@ def forward_selection(train: DataFrame, test: DataFrame, model: DataFrame, *, st
     model = model.withColumn("step", F.lit(0))
     for step in range(1, steps + 1):
         now = model.select("dim", "weight")
-        rows = cut(records(train, now))
+        rows = store(records(train, now))
         found = gains(rows if test is train else records(test, now), coefficients(rows, iterations=iterations))
         model = cut(model.unionByName(best(found, per_step).select("dim", F.col("coefficient").alias("weight"), F.lit(step).alias("step"))))
     return model
@@ -75,7 +75,7 @@ def forward_selection(train: DataFrame, test: DataFrame, model: DataFrame, *, st
 
 def retrain(train: DataFrame, model: DataFrame, *, iterations: int = 10, rate: float = 0.1) -> DataFrame:
     """Gradient descent (mean gradient) on the model's features together."""
-    kept = cut(train.join(small(model.select("dim")), "dim"))
+    kept = store(train.join(small(model.select("dim")), "dim"))
     n = train.select("id").distinct().count()
     for _ in range(iterations):
         z = base_scores(kept, model)

@@ -12,7 +12,7 @@ from lumenframe.functions import numeric, strings
 from lumenframe.operators import clustering, forest, logistic, sfo, similarity, stats
 from lumenframe.plans import datasets as data
 from lumenframe.plans import sql as S
-from lumenframe.session import cut, table
+from lumenframe.session import store, table
 from lumenframe.sources import text as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,11 +316,11 @@ _ROUNDS = 3
 
 
 def _sfo(spark, sf_dir):
-    return cut(data.token_rows(spark, sf_dir)), data.base_model(spark)
+    return store(data.token_rows(spark, sf_dir)), data.base_model(spark)
 
 
 def _records(spark, sf_dir):
-    return cut(sfo.records(*_sfo(spark, sf_dir)))
+    return store(sfo.records(*_sfo(spark, sf_dir)))
 
 
 @query("sfo_train_records", f"WITH {S.TOKENS}, {S.sfo_step(0, 1)} SELECT dim, count(*) AS n, sum(y) AS positives, {S.r('sum(x)', 4)} AS x, {S.r('sum(z)', 4)} AS z FROM rec0 GROUP BY dim")

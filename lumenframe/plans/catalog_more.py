@@ -206,7 +206,7 @@ _DROP = f"abs(y - {S._sigma('z + 1.0')}) - abs(y - {S._sigma('z + x * beta + 1.0
 )
 def sfo_mean_deviation(spark, sf_dir):
     vectors, model = base._sfo(spark, sf_dir)
-    rows = base.cut(sfo.records(vectors, model))
+    rows = base.store(sfo.records(vectors, model))
     n = vectors.select("id").distinct().count()
     return sfo.gains(rows, sfo.coefficients(rows, iterations=1), "mean_deviation", n).select("dim", rounded("gain").alias("gain"))
 

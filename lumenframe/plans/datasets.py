@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.session import cut, table
+from lumenframe.session import store, table
 
 #: Weights of a fixed model over the tabular features (bias first).
 WEIGHTS = [-0.5, 0.8, -0.3, 0.4, 0.1]
@@ -47,9 +47,9 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, dim, value): all words of labelled documents, their whole counts scaled by 5; dims in order of the words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", "quality"), "doc_id")
     words = docs.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''")
-    counts = cut(words.groupBy("id", "label", "token").agg(F.count(F.lit(1)).alias("n")))
+    counts = store(words.groupBy("id", "label", "token").agg(F.count(F.lit(1)).alias("n")))
     # numbered within ranges, then over the ranges' sizes: no task holds the whole vocabulary
-    ranged = cut(counts.select("token").distinct().repartitionByRange("token").withColumn("range", F.spark_partition_id()))
+    ranged = store(counts.select("token").distinct().repartitionByRange("token").withColumn("range", F.spark_partition_id()))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
     place = F.row_number().over(Window.partitionBy("range").orderBy("token")) - 1

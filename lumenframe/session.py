@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,23 +30,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, by a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    Where that is unset, a folder of our own in local mode (tests), else an error.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own in local mode (tests), else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lumenframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, by a reliable checkpoint in the shared folder."""
+    folder, context = _shared_folder(df.sparkSession), df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, as a compressed table in the shared folder; for what grows with the data.
+
+    A checkpoint holds rows as they lie in memory. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path.toString())
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
+
+
 #: Tables of more rows than this are joined by a shuffle where a small one would be broadcast.
 BROADCAST_ROWS = 200_000
 
