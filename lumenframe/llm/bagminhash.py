@@ -357,21 +357,26 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of the nodes of an undirected graph of edges (a, b), but for those that are their own labels.
+def star_rows(rows: DataFrame, find: Callable | None = None) -> DataFrame:
+    """Each task's edges as stars (u, v); ``find`` makes the edges of ``rows`` first, in the same Python worker."""
+    return rows.mapInArrow((lambda batches: _stars(find(batches))) if find else _stars, "u long, v long")
+
+
+def components(now: DataFrame) -> DataFrame:
+    """(node, label) of the nodes of an undirected graph given as ``star_rows``, but for those that are their own labels.
 
     A label is the least node of its component. Each round gives every node its least lower
     neighbour's least lower neighbour, and joins all its neighbours to that; each task reduces what it
     has to stars before and after, so no round has more rows than a node has tasks.
     """
-    now = stash(edges.select("a", "b").mapInArrow(_stars, "u long, v long"), "cc")
+    now = stash(now, "cc")
     while True:
         lower = now.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
         above = lower.select(F.col("u").alias("m"), F.col("m").alias("w"))
         found = stash(lower.join(above, "m", "left").select("u", F.coalesce("w", "m").alias("root"), (F.col("w").isNotNull() | (F.col("most") > F.col("m"))).alias("busy")), "cc")
         if found.where("busy").isEmpty():
             return found.select(F.col("u").alias("node"), F.col("root").alias("label"))
-        now = stash(now.join(found, "u").select("u", "v", "root").mapInArrow(_stars, "u long, v long"), "cc")
+        now = stash(star_rows(now.join(found, "u").select("u", "v", "root")), "cc")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -392,16 +397,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bags = source.select("__node", "__text").mapInArrow(_multisets(packed, shingle), "node long, bag binary")
     bags = stash(bags.groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def with_bags(pairs: DataFrame) -> DataFrame:
         one = pairs.select("a", "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-        return one.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verified(threshold), "a long, b long")
+        return one.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").select("a", "b", "bag_a", "bag_b")
 
     pairs = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     rated = pairs.join(company.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(company.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     rated = rated.select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a long, b long, same int")
     order = Window.partitionBy("a").orderBy(F.desc("same"), "b")
     best = stash(rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _FIRST).select("a", "b"), "pairs")
-    labels = components(verify(best))
+    labels = components(star_rows(with_bags(best), _verified(threshold)))
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -427,12 +432,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return blocks(rows.where("label <> largest"), "asking_blocks", "left").join(blocks(rows, "all_blocks", "right"), by).select("left", "right")
 
     unsettled = mixed(labelled(shared.select("key", "node")), "key", company, F.length("sig"))
-    near = stash(pairs_of_blocks(unsettled, "key", "sig").mapInArrow(_span(_could_link), "a long, b long"), "near")
-    groups = components(near)
+    groups = components(star_rows(pairs_of_blocks(unsettled, "key", "sig"), _span(_could_link)))
     groups = groups.select("node", F.col("label").alias("grp")).unionByName(groups.select(F.col("label").alias("node"), F.col("label").alias("grp")).distinct())
     grouped = mixed(labelled(groups), "grp", company.join(bags, "node"), F.length("bag"))
-    found = pairs_of_blocks(grouped, "grp", "sig", "bag").mapInArrow(_span(_links(threshold)), "a long, b long")
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
+    found = star_rows(pairs_of_blocks(grouped, "grp", "sig", "bag"), _span(_links(threshold)))
+    labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
     member = signed.select("__id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = member.where("node is not null").groupBy("label").agg(F.min("__id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
