@@ -367,9 +367,10 @@ def components(now: DataFrame) -> DataFrame:
 
     A label is the least node of its component. Each round gives every node its least lower
     neighbour's least lower neighbour, and joins all its neighbours to that; each task reduces what it
-    has to stars before and after, so no round has more rows than a node has tasks.
+    has to stars before and after. A node has at first a row of each task that holds it. So tasks that read
+    the rows of several reduce them again, and equal rows count once, before any join by node.
     """
-    now = stash(now, "cc")
+    now = stash(star_rows(stash(now, "cc")).distinct(), "cc")
     while True:
         lower = now.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
         above = lower.select(F.col("u").alias("m"), F.col("m").alias("w"))
