@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators import stats
+from lumenframe.operators import nodes, stats
 from lumenframe.operators.histograms import Histogram, histograms
 from lumenframe.operators.similarity import uniform
-from lumenframe.session import BROADCAST_ROWS, cut, small
+from lumenframe.session import BROADCAST_ROWS, cut, small, store
 
 # Defaults of the builder.
 MIN_ITEMS, BINS = 70, 10
@@ -28,6 +28,8 @@ MIN_ITEMS, BINS = 70, 10
 STRATEGIES = {"big_reducer": "percentile", "streaming": "histogram"}
 #: Node numbers double with depth; this many levels fit in 63 bits.
 MAX_DEPTH = 60
+#: Nodes of up to this many values are grown to their leaves in one task, which holds them as doubles (32 MB).
+SUBTREE_VALUES = 1 << 22
 
 
 def subspace_size(features: int) -> int:
@@ -137,7 +139,10 @@ def best_splits(found: DataFrame) -> DataFrame:
 
 def majority(members: DataFrame, samples: DataFrame) -> DataFrame:
     """(tree, node, label, n): the most frequent label of each node, ties to the smaller."""
-    counts = members.join(samples.select("id", "label"), "id").groupBy("tree", "node", "label").agg(F.sum("n").alias("n"))
+    return _most(members.join(samples.select("id", "label"), "id").groupBy("tree", "node", "label").agg(F.sum("n").alias("n")))
+
+
+def _most(counts: DataFrame) -> DataFrame:
     return counts.groupBy("tree", "node").agg(F.min(F.struct((-F.col("n")).alias("least"), "label")).alias("b"), F.sum("n").alias("n")).select("tree", "node", "b.label", "n")
 
 
@@ -159,32 +164,162 @@ def grow_level(samples: DataFrame, members: DataFrame, nodes: DataFrame, *, min_
     return done, cut(moved.select("tree", child.alias("node"), "id", "n"))
 
 
-def build(samples: DataFrame, features: int, *, trees: int = 1, min_items: int = MIN_ITEMS, bins: int = BINS, max_depth: int = 20, seed: str = "0", mode: str = "paper", how: str = "percentile", strategy: str | None = None, reuse_features: bool = False) -> DataFrame:
+def build(samples: DataFrame, features: int, *, trees: int = 1, min_items: int = MIN_ITEMS, bins: int = BINS, max_depth: int = 20, seed: str = "0", mode: str = "paper", how: str = "percentile", strategy: str | None = None, reuse_features: bool = False, subtree_values: int = SUBTREE_VALUES) -> DataFrame:
     """A forest (tree, node, feature, split, label); inner nodes have a split, leaves a label.
 
-    ``strategy`` chooses ``how`` by a builder's name (``STRATEGIES``).
+    ``strategy`` chooses ``how`` by a builder's name (``STRATEGIES``). A node of at most ``subtree_values`` values (drawn
+    rows times features) is grown to its leaves in one task; larger ones go level by level, in two jobs each, over samples
+    that walk the splits found so far. Either way the forest is that of ``grow_level``. The driver holds the larger
+    nodes only.
     """
     if strategy is not None:
         how = STRATEGIES[strategy]
     if max_depth > MAX_DEPTH:
         raise ValueError(f"max_depth is at most {MAX_DEPTH}")
-    spark = samples.sparkSession
-    samples = cut(samples.select("id", "label", "features"))
-    members = cut(bootstrap(samples, trees, seed).withColumn("node", F.lit(0).cast("long")).select("tree", "node", "id", "n"))
-    size = subspace_size(features)
-    open_nodes = spark.range(trees).select(F.col("id").cast("int").alias("tree"), F.lit(0).cast("long").alias("node"), F.array().cast("array<int>").alias("used"))
-    forest = None
-    for depth in range(max_depth + 1):
-        least = min_items if depth < max_depth else 2**62
-        done, members = grow_level(samples, members, subspace(open_nodes, features, size, seed), min_items=least, bins=bins, mode=mode, how=how)
-        level = done.select("tree", "node", "feature", "split", "label")
-        forest = level if forest is None else forest.unionByName(level)
-        inner = done.where("feature is not null")
-        if inner.isEmpty():
-            break
-        path = F.col("used") if reuse_features else F.concat("used", F.array("feature"))
-        open_nodes = inner.select("tree", path.alias("used"), F.explode(F.array(2 * (F.col("node") + 1) - 1, 2 * (F.col("node") + 1))).alias("node"))
-    return cut(forest)
+    rules = nodes.Rules(features, subspace_size(features), min_items, bins, max_depth, seed, mode, how, reuse_features)
+    held = _drawn_samples(samples, features, trees, seed)
+    totals = held.select(F.explode("drawn").alias("d")).groupBy("d.tree").agg(F.sum("d.n").alias("n")).collect()
+    # open nodes: the features on the path, the number of drawn rows
+    level = {(r["tree"], 0): ((), r["n"]) for r in totals}
+    inner, leaves, subtrees = {}, [], {}
+    while level:
+        subtrees |= {key: used for key, (used, n) in level.items() if n * features <= subtree_values}
+        level = {key: state for key, state in level.items() if key not in subtrees}
+        splittable = {key: rules.dims(key, used) for key, (used, _) in level.items() if nodes.depth(key) < max_depth}
+        best = _best_of_level(held, inner, splittable, rules) if splittable else {}
+        below = {}
+        for key, (used, _) in level.items():
+            found = best.get(key)
+            if rules.splits(found, key):
+                inner[key] = found[:2]
+                for child, n in zip(nodes.children(key), found[2:4], strict=True):
+                    below[child] = (rules.path(used, found[0]), n)
+            else:
+                leaves.append(key)
+        level = below
+    kind = samples.schema["label"].dataType.simpleString()
+    schema = f"tree int, node long, feature int, split double, label {kind}"
+    rows = [(*key, feature, split, None) for key, (feature, split) in inner.items()]
+    rows += [(*key, None, None, label) for key, label in _majorities(held, inner, leaves, rules).items()]
+    grown = _subtrees(held, inner, subtrees, rules, schema)
+    return cut(grown.unionByName(samples.sparkSession.createDataFrame(rows, schema)) if rows else grown)
+
+
+def _drawn_samples(samples: DataFrame, features: int, trees: int, seed: str) -> DataFrame:
+    """(label, features, drawn): each sample that a bootstrap drew, with an array of (tree, n)."""
+    if not samples._jdf.queryExecution().analyzed().deterministic():
+        samples = store(samples.select("id", "label", "features"))  # they are read more than once
+    drawn = bootstrap(samples, trees, seed).groupBy("id").agg(F.collect_list(F.struct("tree", "n")).alias("drawn"))
+    missing = F.array_repeat(F.lit(None).cast("double"), features)
+    rows = samples.select("id", "label", F.coalesce(F.col("features").cast("array<double>"), missing).alias("features"))
+    return store(rows.join(drawn, "id").select("label", "features", "drawn"))
+
+
+def _walk(held: DataFrame, inner: dict, targets: list, rules: nodes.Rules):
+    return held.sparkSession.sparkContext.broadcast(nodes.Walk(inner, targets, rules.features))
+
+
+def _best_of_level(held: DataFrame, inner: dict, open_nodes: dict, rules: nodes.Rules) -> dict:
+    """The best split (feature, split, n_left, n_right, quality) of each open node that has one."""
+    keys, most = list(open_nodes), max(map(len, open_nodes.values()))
+    if not most:
+        return {}
+    walk = _walk(held, inner, keys, rules)
+    dims = np.array([[*open_nodes[key], *[-1] * (most - len(open_nodes[key]))] for key in keys])
+    value_schema = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("feature", pa.int32()), ("value", pa.float64()), ("n", pa.int64())])
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, row, target, n = walk.value.members(batch)
+            feature = dims[target].ravel()
+            row, target, n = (np.repeat(a, most)[feature >= 0] for a in (row, target, n))
+            feature = feature[feature >= 0]
+            yield walk.value.batch(target, value_schema, pa.array(feature.astype(np.int32)), pa.array(x[row, feature]), pa.array(n))
+
+    rows = held.mapInArrow(values, "tree int, node long, feature int, value double, n long")
+    splits = {}
+    for r in candidates(rows, rules.bins, rules.how).collect():
+        splits.setdefault((r["tree"], r["node"]), {})[r["feature"]] = np.array(r["splits"], float)
+    points = held.sparkSession.sparkContext.broadcast(splits)
+    label = held.schema["label"].dataType.simpleString()
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, row, target, n = walk.value.members(batch)
+            codes, labels = nodes.coded(batch.column("label"))
+            schema = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("feature", pa.int32()), ("bin", pa.int32()), ("label", batch.schema.field("label").type), ("n", pa.int64())])
+            starts = np.flatnonzero(np.diff(target, prepend=-1))
+            for start, end in zip(starts, [*starts[1:], len(target)], strict=True):
+                at, rows = target[start], row[start:end]
+                for feature, cuts in points.value.get(keys[at], {}).items():
+                    bin_ = np.searchsorted(cuts, x[rows, feature], side="left")
+                    bin_, code, sums = nodes.summed(n[start:end], (bin_, len(cuts) + 1), (codes[rows], len(labels)))
+                    fixed = pa.array(np.full(len(sums), feature, np.int32))
+                    named = pa.array([labels[c] for c in code], schema.field("label").type)
+                    yield walk.value.batch(np.full(len(sums), at), schema, fixed, pa.array(bin_.astype(np.int32)), named, pa.array(sums))
+
+    def best(key: tuple, table: pa.Table) -> pa.Table:
+        (tree, node), mode = (k.as_py() for k in key), rules.mode
+        codes, labels = nodes.coded(table.column("label"))
+        feature, bin_, n = (table.column(name).to_numpy() for name in ("feature", "bin", "n"))
+        found = []
+        for f, cuts in points.value[tree, node].items():
+            by_bin = np.zeros((len(cuts) + 1, len(labels)), np.int64)
+            here = feature == f
+            by_bin[bin_[here], codes[here]] = n[here]
+            found.append((f, cuts, by_bin))
+        names, top = ["tree", "node", "feature", "split", "n_left", "n_right", "quality"], nodes.best_split(found, mode)
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([pa.array([] if top is None else [v], k) for v, k in zip((tree, node, *(top or [None] * 5)), kinds, strict=True)], names=names)
+
+    sums = held.mapInArrow(counts, f"tree int, node long, feature int, bin int, label {label}, n long").groupBy("tree", "node", "feature", "bin", "label").agg(F.sum("n").alias("n"))
+    tops = sums.groupBy("tree", "node").applyInArrow(best, "tree int, node long, feature int, split double, n_left long, n_right long, quality double")
+    return {(r["tree"], r["node"]): tuple(r)[2:] for r in tops.collect()}
+
+
+def _majorities(held: DataFrame, inner: dict, leaves: list, rules: nodes.Rules) -> dict:
+    """The label of each of the leaves."""
+    if not leaves:
+        return {}
+    walk = _walk(held, inner, leaves, rules)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, row, target, n = walk.value.members(batch)
+            codes, labels = nodes.coded(batch.column("label"))
+            kind = batch.schema.field("label").type
+            schema = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("label", kind), ("n", pa.int64())])
+            target, code, sums = nodes.summed(n, (target, len(leaves)), (codes[row], len(labels)))
+            yield walk.value.batch(target, schema, pa.array([labels[c] for c in code], kind), pa.array(sums))
+
+    label = held.schema["label"].dataType.simpleString()
+    found = _most(held.mapInArrow(counts, f"tree int, node long, label {label}, n long").groupBy("tree", "node", "label").agg(F.sum("n").alias("n")))
+    return {(r["tree"], r["node"]): r["label"] for r in found.collect()}
+
+
+def _subtrees(held: DataFrame, inner: dict, roots: dict, rules: nodes.Rules, schema: str) -> DataFrame:
+    """All nodes from ``roots`` (and the features on their paths) down, a root a task; moves each of their drawn rows once."""
+    walk = _walk(held, inner, list(roots), rules)
+    used = held.sparkSession.sparkContext.broadcast(roots)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, row, target, n = walk.value.members(batch)
+            label, rows = batch.column("label"), batch.column("features")
+            kinds = pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("label", label.type), ("features", rows.type), ("n", pa.int64())])
+            yield walk.value.batch(target, kinds, label.take(pa.array(row)), rows.take(pa.array(row)), pa.array(n))
+
+    def grow(key: tuple, table: pa.Table) -> pa.Table:
+        root = tuple(k.as_py() for k in key)
+        codes, labels = nodes.coded(table.column("label"))
+        x, n = nodes.matrix(table.column("features"), rules.features), table.column("n").to_numpy()
+        out = zip(*nodes.grow(x, codes, labels, n, root, used.value[root], rules), strict=True)
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.float64(), table.schema.field("label").type]
+        return pa.table([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["tree", "node", "feature", "split", "label"])
+
+    label = held.schema["label"].dataType.simpleString()
+    rows = held.mapInArrow(members, f"tree int, node long, label {label}, features array<double>, n long")
+    return rows.groupBy("tree", "node").applyInArrow(grow, schema)
 
 
 def traverse(samples: DataFrame, forest: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
