@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import forest
+from lumenframe.plans import catalog
 
 SCHEMA = "id long, label int, features array<double>"
 
@@ -80,3 +81,11 @@ def test_forest_of_awkward_samples(spark, how, subtree_values):
     assert {r[4] for r in build([(i, 4, [float(i), math.nan]) for i in range(9)])} == {4}
     with pytest.raises(Exception, match="features"):
         build([(1, 5, [1.0]), (2, 5, [1.0])])
+
+
+def test_rf_build_reaches_counts_all(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = catalog.queries()["rf_build_reaches"](spark, "/root/testdata/sf0.001").collect()
+    # before, 32
+    assert sorted(map(tuple, got)) == [(0, 500), (1, 500)] and store.executionsCount() - before <= 12
