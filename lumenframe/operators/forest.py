@@ -234,9 +234,20 @@ def _best_of_level(held: DataFrame, inner: dict, open_nodes: dict, rules: nodes.
             feature = dims[target].ravel()
             row, target, n = (np.repeat(a, most)[feature >= 0] for a in (row, target, n))
             feature = feature[feature >= 0]
-            yield walk.value.batch(target, value_schema, pa.array(feature.astype(np.int32)), pa.array(x[row, feature]), pa.array(n))
+            if not len(target):
+                continue
+            # equal values of a batch travel as one
+            value = x[row, feature]
+            order = np.lexsort((value, feature, target))
+            target, feature, value = target[order], feature[order], value[order]
+            head = np.flatnonzero(np.r_[True, (np.diff(target) != 0) | (np.diff(feature) != 0) | (value[1:] != value[:-1])])
+            n = np.add.reduceat(n[order], head)
+            yield walk.value.batch(target[head], value_schema, pa.array(feature[head].astype(np.int32)), pa.array(value[head]), pa.array(n))
 
     rows = held.mapInArrow(values, "tree int, node long, feature int, value double, n long")
+    if rules.how == "percentile":
+        # the values of a node's feature meet in the window of candidates; to go there at once saves a shuffle
+        rows = rows.repartition("tree", "node", "feature")
     splits = {}
     for r in candidates(rows, rules.bins, rules.how).collect():
         splits.setdefault((r["tree"], r["node"]), {})[r["feature"]] = np.array(r["splits"], float)
