@@ -170,7 +170,9 @@ def _found(kind: int, key, owner, th, a, b, anchor=None, words=None) -> pa.Recor
 
 def suffix_array(group: np.ndarray, words: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes (rows of ``words``, 0 behind their ends) within groups, and of each the length of its common prefix with the one before; -1 between groups."""
-    packed = np.ascontiguousarray(words[:, : words.shape[1] // 2 * 2]).view(np.uint64)
+    # two words a key, the earlier one above the later, else prefixes of odd length would not lie together
+    packed = words[:, : words.shape[1] // 2 * 2].astype(np.uint64)
+    packed = packed[:, ::2] << np.uint64(32) | packed[:, 1::2]
     keys = [*([words[:, -1]] if words.shape[1] % 2 else []), *packed.T[::-1], group]
     order = np.lexsort(keys)
     one, two = order[:-1], order[1:]
