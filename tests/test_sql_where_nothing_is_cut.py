@@ -66,3 +66,15 @@ def ratings_dir(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", [n for n in catalog.queries() if n.startswith(("cooccurrence", "sim_"))])
 def test_pairs_equal_their_sql(spark, ratings_dir, name):
     check(spark, name, ratings_dir, ("lineitem", "orders"))
+
+
+def test_top_features_are_ordered_as_returned(spark, monkeypatch):
+    """Gains that agree to the digits that are returned are a tie, which goes to the smaller dim."""
+    found = [(d, 3.0 + (1e-5 if d % 2 else 0.0) + d // 4, 0.1) for d in range(15)]
+    monkeypatch.setattr(catalog, "_records", lambda *_: None)
+    monkeypatch.setattr(catalog.sfo, "coefficients", lambda *_, **__: None)
+    monkeypatch.setattr(catalog.sfo, "gains", lambda *_, **__: spark.createDataFrame(found, "dim int, gain double, coefficient double"))
+    got = [(r.dim, r.gain) for r in catalog.queries()["sfo_top_features"](spark, "").collect()]
+    text = catalog.oracle_sql()["sfo_top_features"]
+    gain0 = f"WITH gain0 AS (SELECT * FROM (VALUES {', '.join(f'({d}, CAST({g} AS DOUBLE))' for d, g, _ in found)}) t(dim, gain)) "
+    assert got == duckdb.connect().execute(gain0 + text[text.rindex("SELECT dim, round(") :]).fetchall()
