@@ -61,7 +61,7 @@ def program(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 def item_similarity(spark: SparkSession, ratings: str, measure: str = "euclidean", threshold: float | None = None, k: int = 0) -> DataFrame:
     """Lines of each item and its similar ones; ``k`` keeps the most similar, 0 all."""
     rows = similarity.dedupe(text.parse_ratings(text.read_lines(spark, ratings)))
-    found = similarity.similarities(rows, measure, threshold=threshold)
+    found = similarity.similarities(rows, measure, threshold=threshold, most=k or None)
     return sinks.similarity_text(similarity.top_k(found, k) if k else found)
 
 
