@@ -1,6 +1,7 @@
 """What is made of pairs is made in their block, and what was shuffled for stored tables does not stay on disk."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -50,6 +51,19 @@ def test_top_of_runs():
     assert similarity._top(np.array([], int), np.array([]), 3).tolist() == []
 
 
+@pytest.mark.parametrize("entries", [1 << 22, 100])
+def test_totals_equal_those_of_joined_pairs(spark, monkeypatch, ratings, entries):
+    small_blocks(monkeypatch, entries)
+    measures = [m.name for m in similarity.MEASURES.values() if m.scale == "identity"]
+    # whether a likelihood ratio of zero counts depends on the order of a sum
+    both = lambda r: r.n_both if r.measure != "loglikelihood" else None
+    got = {(r.measure, str(r.i)): (r.total, both(r)) for r in similarity.totals(ratings, measures).collect() if r.total > 1e-9}
+    # items that are not whole numbers are joined; with leading zeros they are in the same order
+    other = similarity.totals(ratings.withColumn("item", F.format_string("%03d", "item")), measures)
+    want = {(r.measure, str(int(r.i))): (pytest.approx(r.total), both(r)) for r in other.collect() if r.total > 1e-9}
+    assert want and got == want
+
+
 def test_topk_query_ranks_few_pairs(spark, monkeypatch):
     seen, top_k = [], similarity.top_k
     monkeypatch.setattr(similarity, "top_k", lambda similar, k: seen.append(similar) or top_k(similar, k))
@@ -57,6 +71,11 @@ def test_topk_query_ranks_few_pairs(spark, monkeypatch):
     assert seen[0].groupBy("i").count().agg(F.max("count")).first()[0] == 10
 
 
+def test_totals_query_shuffles_no_sums_of_pairs(spark):
+    plan = catalog.queries()["similarity_totals"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and not re.search(r"hashpartitioning\(i#", plan)
+
+
 def test_store_leaves_no_shuffle_files(spark):
     def shuffled():
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
